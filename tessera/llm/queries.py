@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, language_id, packing, token_counts
 
 QUERIES = {
+    "op6_language_id": language_id.query,
+    "op8_best_fit_packing": packing.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_token_counts": token_counts.query,
 }
 SQL = {
     "op9_exact_dedup": exact_dedup.SQL,
