@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, packing, token_counts
+from tessera.llm import exact_dedup, language_id, mixing, packing, token_counts
 
 QUERIES = {
+    "op4_source_mixing": mixing.query,
     "op6_language_id": language_id.query,
     "op8_best_fit_packing": packing.query,
     "op9_exact_dedup": exact_dedup.query,
