@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, mixing, packing, token_counts
+from tessera.llm import exact_dedup, language_id, minhash_dedup, mixing, packing, token_counts
 
 QUERIES = {
+    "op2_minhash_dedup": minhash_dedup.query,
     "op4_source_mixing": mixing.query,
     "op6_language_id": language_id.query,
     "op8_best_fit_packing": packing.query,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_token_counts": token_counts.query,
 }
 SQL = {
+    "op2_minhash_dedup": minhash_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
