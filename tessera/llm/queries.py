@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, token_counts
+from tessera.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, substring_dedup, token_counts
 
 QUERIES = {
+    "op5_substring_dedup": substring_dedup.query,
     "op7_embedding_dedup": embedding_dedup.query,
     "op2_minhash_dedup": minhash_dedup.query,
     "op4_source_mixing": mixing.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_token_counts": token_counts.query,
 }
 SQL = {
+    "op5_substring_dedup": substring_dedup.SQL,
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op2_minhash_dedup": minhash_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
