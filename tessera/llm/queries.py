@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, substring_dedup, token_counts
+from tessera.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, quality, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op3_lm_scoring": lm_scoring.query,
     "op5_substring_dedup": substring_dedup.query,
     "op7_embedding_dedup": embedding_dedup.query,
