@@ -9,6 +9,9 @@ stay underfull are opened again and their pieces packed in the next, smaller rou
 from __future__ import annotations
 
 import bisect
+import itertools
+import os
+import struct
 import zlib
 from functools import lru_cache
 
@@ -18,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, whole_text
+from tessera.llm.common import documents, sub_batches, whole_text
 from tessera.session import settle, ship
 
 CAPACITY = 2048
 #: Mean pieces of a pool; fill below which a bin is opened again; fuller bins that a search tries.
 POOL, FULL, PARTNERS = 4096, 0.97, 64
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 END = np.zeros(1, "<u4").tobytes()
 #: White space before a space: the vocabulary's splitter then doesn't cut in front of each space.
 RUN = regex.compile(r"\s ")
@@ -34,40 +37,47 @@ class Encoder:
     """Token ids of whole texts as little-endian bytes, as the tokenizers library gives them.
 
     The vocabulary cuts in front of every space that follows a visible character, so words between
-    single spaces are encoded on their own and remembered; other texts go to the library whole.
+    single spaces are encoded on their own, unknown ones of many texts at a time, and remembered;
+    other texts go to the library whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first = _Words(self, "")
-        self.later = _Words(self, " ")
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if RUN.search(text) or any(s in text for s in self.special):
-            return self.plain(text)
-        for words in (self.first, self.later):
-            if len(words) > REMEMBERED:
-                words.clear()
-        head, *tail = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, tail))
-
-
-class _Words(dict):
-    def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead = encoder, lead
-
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.encoder.plain(self.lead + word) if self.lead or word else b""
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        fresh = sorted(words)
+        known.update(zip(fresh, self.plain([lead + w for w in fresh]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        cuts = []
+        for i, text in enumerate(texts):
+            if RUN.search(text) or any(s in text for s in self.special):
+                out[i] = self.plain([text])[0]
+            else:
+                cuts.append((i, text.split(" ")))
+        for known, lead, part in ((self.first, "", slice(0, 1)), (self.later, " ", slice(1, None))):
+            fresh: set[str] = set()
+            for _, words in cuts:
+                fresh.update(itertools.filterfalse(known.__contains__, words[part]))
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+                fresh = {w for _, words in cuts for w in words[part]}
+            self.learn(known, fresh, lead)
+        for i, (head, *tail) in cuts:
+            out[i] = self.first[head] + b"".join(map(self.later.__getitem__, tail))
         return out
 
 
@@ -89,9 +99,8 @@ def piece_maker(path: str):
     """A vectorised function of a text column that returns array<struct<start, length, ids_crc32>>."""
 
     def make(texts: pd.Series) -> pd.Series:
-        encode, out = encoder(path), []
-        for text in texts:
-            ids = encode(text or "") + END
+        encode, out, texts = encoder(path), [], [t or "" for t in texts]
+        for ids in (ids + END for x, y in sub_batches(texts) for ids in encode(texts[x:y])):
             out.append([{"start": a, "length": n, "ids_crc32": zlib.crc32(ids[4 * a : 4 * (a + n)])} for a, n in cut(len(ids) // 4)])
         return pd.Series(out)
 
