@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most bytes of an Arrow batch that a Python worker holds.
+BATCH_BYTES = 16 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -30,6 +32,8 @@ def ship(spark: SparkSession) -> None:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
+    # long texts come in small batches, so a Python worker's memory stays bounded
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
