@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,28 @@ def sub_batches(texts, most_chars: int = 4_000_000, most_rows: int = 4096):
         chars += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+_DROPS: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def holds(owner: str, drop: Callable[[], None]) -> None:
+    """``drop`` frees what an operator keeps in a worker process from task to task."""
+    _DROPS[owner] = drop
+
+
+def claim(owner: str) -> None:
+    """Free what other operators keep: Spark hands a worker process on from stage to stage."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for name, drop in _DROPS.items():
+        if name != owner:
+            drop()
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, id_remainder, is_remainder, sub_batches
+from tessera.llm.common import claim, documents, holds, id_remainder, is_remainder, sub_batches
 from tessera.session import ship
 
 #: Bound of the labelled sample: about DOCS rows a language, LINE characters of each, CHARS in all.
@@ -153,11 +153,14 @@ class Parser:
         return langs, scores
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(model: tuple) -> Parser:
     return Parser(dict(model))
 
 
+holds("language_id", _parser.cache_clear)
+
+
 def fit(rows: DataFrame) -> dict[str, str]:
     """Equally long labelled text of each language, from columns doc_id, lang and text.
 
@@ -181,6 +184,7 @@ def predictor(model: dict[str, str]):
     key = tuple(sorted(model.items()))
 
     def predict(texts: pd.Series) -> pd.DataFrame:
+        claim("language_id")
         langs, scores = _parser(key).predict([t if t is not None else "" for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, whole_text
+from tessera.llm.common import claim, documents, holds, whole_text
 from tessera.llm.token_counts import byte_letters
 from tessera.session import settle, ship
 
@@ -85,6 +85,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+holds("packing", encoder.cache_clear)
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than the capacity."""
     if n <= capacity:
@@ -98,6 +101,7 @@ def piece_maker(path: str):
     """A vectorised function of a text column that returns array<struct<start, length, ids_crc32>>."""
 
     def make(texts: pd.Series) -> pd.Series:
+        claim("packing")
         encode, out = encoder(path), []
         for text in texts:
             ids = encode(text or "") + END
