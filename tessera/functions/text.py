@@ -25,7 +25,7 @@ def words(text) -> Column:
 
 def sentences(text) -> Column:
     """Trimmed, non-blank parts between runs of `.`, `!` and `?`."""
-    return F.filter(F.transform(F.split(col(text), "[.!?]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(text), "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def spaced_words(text) -> Column:
@@ -72,20 +72,19 @@ def capitalize(text) -> Column:
 def ngrams(tokens, least: int = 1, most: int = 3) -> Column:
     """All runs of ``least`` to ``most`` tokens, joined by a space."""
 
+    def of_length(t: Column, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<string>"))
+
     def runs(t: Column) -> Column:
-        of = [
-            F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i, n=n: F.array_join(F.slice(t, i, n), " "))
-            for n in range(least, most + 1)
-        ]
-        empty = F.array().cast("array<string>")
-        return F.concat(*(F.when(F.size(t) >= n, x).otherwise(empty) for n, x in zip(range(least, most + 1), of, strict=True)))
+        return F.concat(*(of_length(t, n) for n in range(least, most + 1)))
 
     return let(col(tokens), runs)
 
 
 def split_list(text, separator: str = ",") -> Column:
     """Trimmed, non-blank parts of a separated list."""
-    return F.filter(F.transform(F.split(col(text), separator), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(text), separator), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def table_text(rows) -> Column:

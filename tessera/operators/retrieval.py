@@ -82,6 +82,10 @@ def context(df: DataFrame, by: list[str] | None = None, rank: str = "rank", text
     return df.groupBy(*(by or [])).agg(F.array_join(F.transform(parts, lambda p: p[text]), "\n\n").alias("context"))
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, query: str | Sequence[str], cfg: RetrievalConfig | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and bm25 of documents with at least one query term.
 
@@ -90,7 +94,7 @@ def bm25(docs: DataFrame, query: str | Sequence[str], cfg: RetrievalConfig | Non
     cfg = cfg or RetrievalConfig()
     terms = sorted(set([query] if isinstance(query, str) else query))
     one = docs.select(id_col, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    tf = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    tf = [F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = one.select(id_col, F.size("w").alias("len"), *tf)
     totals = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))
