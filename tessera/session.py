@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most bytes of an Arrow batch that a Python worker holds.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
