@@ -142,7 +142,7 @@ class Parser:
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return langs, scores
-        for a, b in sub_batches(texts, 2_000_000):
+        for a, b in sub_batches(texts, 500_000):
             phrases, chars, letters = self.counts(texts[a:b])
             best = phrases.argmin(0)
             bits = phrases * math.log2(self.size) / np.maximum(chars, 1)
