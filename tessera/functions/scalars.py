@@ -16,7 +16,8 @@ def let(value: Column, body) -> Column:
 
 
 def clamp(x, low: float, high: float) -> Column:
-    return F.greatest(F.least(col(x), F.lit(high)), F.lit(low))
+    """Within bounds; null stays null, which least and greatest would skip."""
+    return F.when(col(x).isNotNull(), F.greatest(F.least(col(x), F.lit(high)), F.lit(low)))
 
 
 def parsed_int(x, default: int, low: int | None = None, high: int | None = None) -> Column:

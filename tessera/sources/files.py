@@ -17,7 +17,7 @@ from tessera.session import ship
 
 def scan(spark, folder: str, types: list[str] | None = None, recursive: bool = False) -> DataFrame:
     """path, filetype, modified, length, content and content_hash of a folder's files of these types,
-    whatever the case of their endings. Empty folders give no rows."""
+    whatever the case of their endings. Empty folders give no rows; Spark's reader leaves out empty files."""
     glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in t) for t in types or FILE_TYPES) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     kind = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
@@ -110,4 +110,4 @@ def text_properties(df: DataFrame) -> DataFrame:
     if not lists:
         return df.select(F.lit("").alias("text")).where("false")
     every = F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
-    return df.select(F.trim(F.explode(every)).alias("text")).where("text <> ''")
+    return df.select(F.explode(every).alias("text")).select(F.trim("text").alias("text")).where("text <> ''")
