@@ -129,7 +129,7 @@ def test_link_resolution(spark):
 
 
 def test_folder_to_chunks_and_manifest(spark, tmp_path):
-    body = "Some plain words make a sentence here. " * 30
+    body = " ".join(f"Plain words number {chr(97 + i % 26)}{chr(97 + i // 26)} make one more sentence {chr(97 + i % 26)}q here." for i in range(40))
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.TXT").write_text(body)
     (tmp_path / "in" / "b.md").write_text("")
