@@ -164,7 +164,7 @@ def _count(shards: int):
                 order = np.argsort(shard, kind="stable")
                 cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
                 out = []
-                for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+                for x, y in zip(cut, [*cut[1:], len(order)][: len(cut)], strict=True):
                     mine = order[x:y]
                     out.append((int(shard[mine[0]]), _blob(b"\n".join([words[i] for i in mine]), n[mine])))
                 yield pd.DataFrame(out, columns=["shard", "blob"])
@@ -259,7 +259,7 @@ def _scatter(model: Model):
                 shard = np.sort(shard)
                 start = np.searchsorted(number, np.arange(len(words) + 1))
                 cut = np.flatnonzero(np.diff(shard, prepend=-1))
-                for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+                for x, y in zip(cut, [*cut[1:], len(order)][: len(cut)], strict=True):
                     mine = order[x:y]
                     sizes = start[mine + 1] - start[mine]
                     ends = np.cumsum(sizes)

@@ -204,8 +204,8 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     gone = np.stack((doc[of], tag[of], pos[of] + offset[start], np.ones(len(start), np.int64)), 1)
     gone = np.concatenate((gone, done))
     gone = gone[np.lexsort((gone[:, 2], gone[:, 1], gone[:, 0]))]
-    cut = np.flatnonzero(np.concatenate(([True], (gone[1:, :2] != gone[:-1, :2]).any(1)))) if len(gone) else []
-    spans = [gone[a:b, 2:].astype(np.int32).tobytes() for a, b in zip(cut, [*cut[1:], len(gone)], strict=True)]
+    cut = np.flatnonzero(np.concatenate(([True], (gone[1:, :2] != gone[:-1, :2]).any(1)))) if len(gone) else np.zeros(0, np.int64)
+    spans = [gone[a:b, 2:].astype(np.int32).tobytes() for a, b in zip(cut, [*cut[1:], len(gone)][: len(cut)], strict=True)]
     return pd.DataFrame({"doc_id": gone[cut, 0], "tag": gone[cut, 1], "spans": spans})
 
 
