@@ -170,23 +170,36 @@ def locate(words: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     equal = np.concatenate([(words[members[i : i + 200_000, None] + span] == words[pattern[which[i : i + 200_000], None] + span]).all(1) for i in range(0, len(members), 200_000)])
     earliest = np.full(len(pattern), np.iinfo(np.int64).max)
     np.minimum.at(earliest, which[equal], doc[members[equal]])
-    # one letter for each word of a phrase
+    # two letters for each word of a phrase, so that no node of the automaton has many children
     phrases = words[pattern[:, None] + span]
     alphabet = np.unique(phrases)
-    letters = lambda x: (x + 1 + 0x800 * (x + 1 >= 0xD800)).astype("<u4")
-    spelled = letters(np.searchsorted(alphabet, phrases)).tobytes().decode("utf-32-le")
+    base = int(np.ceil(np.sqrt(len(alphabet))))
+
+    def spell(code: np.ndarray, known: np.ndarray | bool = True) -> str:
+        pair = np.stack((code // base, base + code % base), -1) + 1
+        pair = np.where(np.asarray(known)[..., None], pair, 0)
+        return (pair + 0x800 * (pair >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+
+    spelled = spell(np.searchsorted(alphabet, phrases))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i in range(len(pattern)):
-        automaton.add_word(spelled[i * WINDOW : (i + 1) * WINDOW], i)
+        automaton.add_word(spelled[2 * i * WINDOW : 2 * (i + 1) * WINDOW], i)
     automaton.make_automaton()
+    # words outside every window whose hash recurs can't be in a match; one of them stays as a gap
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, members, 1)
+    np.add.at(edge, members + WINDOW, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    stay = inside.copy()
+    stay[1:] |= inside[:-1]
+    streamed = np.flatnonzero(stay)
     found = []
-    for a in range(0, len(words), 1 << 20):
-        part = words[a : a + (1 << 20) + WINDOW - 1]
-        code = np.searchsorted(alphabet, part)
-        known = alphabet[np.minimum(code, len(alphabet) - 1)] == part
-        stream = np.where(known, letters(code), 0).astype("<u4").tobytes().decode("utf-32-le")
-        hits = np.array(list(automaton.iter(stream)), np.int64).reshape(-1, 2)
-        start = hits[:, 0] - (WINDOW - 1) + a
+    for a in range(0, len(streamed), 1 << 20):
+        at = streamed[a : a + (1 << 20) + WINDOW - 1]
+        part = words[at]
+        code = np.minimum(np.searchsorted(alphabet, part), len(alphabet) - 1)
+        hits = np.array(list(automaton.iter(spell(code, inside[at] & (alphabet[code] == part)))), np.int64).reshape(-1, 2)
+        start = at[hits[:, 0] // 2] - (WINDOW - 1)
         found.append(start[valid[start] & (earliest[hits[:, 1]] < doc[start])])
     return np.concatenate(found)
 
