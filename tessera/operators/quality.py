@@ -19,14 +19,18 @@ def quality_score(text, keywords: list[str] | None = None, n_tables=0, domain=0.
     unknown; it isn't clamped at 0.
     """
     raw = col(text)
-    clean = T.collapse(raw)
-
-    def scored(w: Column) -> Column:
-        kinds = F.array_distinct(w)
-        parts = T.sentences(clean)
-        n = F.size(parts)
-        mean = F.aggregate(parts, F.lit(0), lambda s, x: s + F.size(T.spaced_words(x))) / F.nullif(n, F.lit(0))
-        sentence = F.when(n > 0, clamp(1 - F.abs(mean - 15) / 20, 0.0, 1.0)).otherwise(0.2)
+
+    def scored(clean: Column) -> Column:
+        return let(T.words(clean), lambda w: let(F.array_distinct(w), lambda kinds: total(clean, w, kinds)))
+
+    def flow(clean: Column) -> Column:
+        def of(parts: Column) -> Column:
+            mean = F.aggregate(parts, F.lit(0), lambda s, x: s + F.size(T.spaced_words(x))) / F.nullif(F.size(parts), F.lit(0))
+            return F.when(F.size(parts) > 0, clamp(1 - F.abs(mean - 15) / 20, 0.0, 1.0)).otherwise(0.2)
+
+        return let(T.sentences(clean), of)
+
+    def total(clean: Column, w: Column, kinds: Column) -> Column:
         if keywords:
             hits = F.size(F.array_intersect(kinds, F.array(*map(F.lit, sorted(set(keywords))))))
             keyword = F.least(F.lit(1.0), hits / 10.0)
@@ -35,11 +39,11 @@ def quality_score(text, keywords: list[str] | None = None, n_tables=0, domain=0.
         structure = 0.3 + 0.4 * T.has_paragraphs(raw).cast("int") + 0.3 * T.has_heading(raw).cast("int")
         tables = F.least(F.lit(1.0), 0.2 * (F.lit(n_tables) if isinstance(n_tables, int) else col(n_tables)))
         near = F.coalesce(F.lit(domain) if isinstance(domain, float) else col(domain), F.lit(0.0))
-        total = 0.25 * (F.size(kinds) / F.size(w)) + 0.15 * sentence + 0.2 * keyword + 0.1 * structure + 0.1 * tables + 0.2 * near
-        return F.when(F.size(w) == 0, 0.1).otherwise(clamp(total, 0.1, 1.0))
+        parts = 0.25 * (F.size(kinds) / F.size(w)) + 0.15 * flow(clean) + 0.2 * keyword + 0.1 * structure + 0.1 * tables + 0.2 * near
+        return F.when(F.size(w) == 0, 0.1).otherwise(let(parts, lambda x: clamp(x, 0.1, 1.0)))
 
     short = raw.isNull() | (F.length(raw) < LEAST_CHARS)
-    return F.when(short, F.lit(0.1)).otherwise(let(T.words(clean), scored))
+    return F.when(short, F.lit(0.1)).otherwise(let(T.collapse(raw), scored))
 
 
 def keep_chunks(df: DataFrame, text: str = "text", score: str = "quality_score") -> DataFrame:
