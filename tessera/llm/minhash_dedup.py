@@ -5,7 +5,8 @@ every representative by DEPTH values of its signature; the orders are range-part
 crowded region spreads over many tasks. Neighbours with a long common prefix are candidates; the
 prefix they need grows with the crowd of their region. Candidates whose signatures agree well enough
 are confirmed on the full shingle sets, first each document's best ones, then those that would join
-two components.
+two components. In a crowd most neighbours of a document are not its partners, so candidates also
+lead to the most linked partners of their ends, round by round until a round links nothing more.
 """
 
 from __future__ import annotations
@@ -185,12 +186,14 @@ def candidates(reps: DataFrame) -> DataFrame:
 
 
 def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
+    claim("compared")
     a = np.frombuffer(b"".join(x), ">u4").reshape(len(x), -1)
     b = np.frombuffer(b"".join(y), ">u4").reshape(len(y), -1)
     return pd.Series((a == b).mean(1))
 
 
 def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
+    claim("compared")
     out = []
     for p, q in zip(x, y, strict=True):
         a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -225,6 +228,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return settle(both.where(linked("sa", "sb")).select("a", "b"))
 
 
+def _apart(scored: DataFrame, label: DataFrame) -> DataFrame:
+    """Candidates whose ends are in different components."""
+    la, lb = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    both = scored.select("a", "b").join(la, "a", "left").join(lb, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _merged(label: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels once ``more`` links join some components."""
+    la, lb = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    both = more.join(la, "a", "left").join(lb, "b", "left")
+    up = settle(components(both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
+    new = up.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    grown = label.join(new, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return grown.unionByName(up.join(label, "node", "left_anti").select("node", "component"))
+
+
+def _through_hubs(scored: DataFrame, links: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
+    """Untried pairs between components: an end of a candidate, or its hub, and the other end's hub.
+
+    A document's hub is the most linked one of itself and its partners. So the copies of one
+    original, which in a crowd meet one another rather than the original, pass it on. There are at
+    most three pairs for each candidate, however large a crowd is.
+    """
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
+    degree = settle(ends.groupBy("node").agg(F.count(F.lit(1)).alias("d")))
+    around = settle(ends.join(degree.select(F.col("node").alias("other"), "d"), "other"))
+    near = around.select("node", "d", "other").unionByName(degree.select("node", "d", F.col("node").alias("other")))
+    hub = settle(near.groupBy("node").agg(F.max(F.struct("d", (-F.col("other")).alias("m"))).alias("best")).select("node", (-F.col("best.m")).alias("hub")))
+    ha, hb = (hub.select(F.col("node").alias(x), F.col("hub").alias(f"h{x}")) for x in "ab")
+    apart = _apart(scored, label).join(ha, "a", "left").join(hb, "b", "left")
+    each = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("a", "hb"), ("ha", "b"), ("ha", "hb"))))
+    met = apart.select(F.explode(each).alias("p")).where("p.x is not null and p.y is not null")
+    met = met.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
+    out = settle(met.join(tried, ["a", "b"], "left_anti"))
+    for table in (degree, around, hub):
+        discard(table)
+    return out
+
+
 def near_duplicates(df: DataFrame, k: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -249,16 +292,23 @@ def near_duplicates(df: DataFrame, k: int = 4) -> DataFrame:
     ends = scored.select(F.explode(F.array("a", "b")).alias("e"), "a", "b", "s")
     rank = F.row_number().over(Window.partitionBy("e").orderBy(F.desc("s"), "a", "b"))
     best = settle(ends.withColumn("r", rank).where(F.col("r") <= BEST).select("a", "b").distinct())
-    links = _confirm(best, sets)
+    links, tried = _confirm(best, sets), best
     label = settle(components(links))
     # then whatever would still join two components
-    la, lb = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    rest = scored.select("a", "b").join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-    rest = settle(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    more = _confirm(rest, sets)
-    if more.take(1):
-        label = settle(components(links.unionByName(more)))
-    for table in (sets, scored, best, rest):
+    fresh = settle(_apart(scored, label).select("a", "b").join(best, ["a", "b"], "left_anti"))
+    used, widened = [sets, scored, best], False
+    while fresh.take(1):
+        more = _confirm(fresh, sets)
+        tried = tried.unionByName(fresh)
+        used += [fresh, more]
+        if more.take(1):
+            links = links.unionByName(more)
+            used.append(label)
+            label = settle(_merged(label, more))
+        elif widened:
+            break
+        fresh, widened = _through_hubs(scored, links, label, tried), True
+    for table in [*used, fresh]:
         discard(table)
     whole = reps.select("set_key", F.col("id").alias("rep")).join(label, F.col("rep") == F.col("node"), "left")
     whole = settle(whole.select("set_key", F.coalesce("component", "rep").alias("component")))

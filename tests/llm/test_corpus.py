@@ -81,6 +81,25 @@ def test_minhash_against_all_pairs(spark, docs, none):
     assert len(odd) == len(ROWS) and all(r["kept"] for r in odd if r["doc_id"] is None)
     assert minhash_dedup.near_duplicates(none).count() == 0
 
+@pytest.mark.parametrize(("copies", "cut"), [(300, 34), (300, 40), (3000, 34)])
+def test_minhash_star_of_edited_copies(spark, copies, cut):
+    import numpy as np
+
+    # each copy has its own words at the places it edits; two of them have J < 0.8 with each other
+    rng = np.random.default_rng(copies + cut)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(10_000, " ".join(base))]
+    for c in rng.permutation(copies).tolist():
+        words, at = list(base), sorted(rng.choice(97, cut // 4, replace=False) * 4)
+        for i in at:
+            words[i] = f"own{c}x{i}"
+        rows.append((20_000 + 7 * c, " ".join(words)))
+    sets = minhash_dedup.shingle_sets([t for _, t in rows], 4)
+    alike = [len(np.intersect1d(sets[0], s, True)) / len(np.union1d(sets[0], s)) for s in sets[1:]]
+    assert min(alike) >= 0.8
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {10_000} and len(got) == copies + 1
+
 def test_substring_dedup_on_odd_rows(docs, none):
     by = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
     assert by[10]["kept_text"] == "start two end two" and by[10]["n_removed"] == 60
