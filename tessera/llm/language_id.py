@@ -2,7 +2,7 @@
 
 For every language a suffix automaton of labelled text is laid out as one dense transition table.
 A text is parsed greedily into longest matches against each automaton; the language that needs the
-fewest phrases per character wins. Texts are parsed whole, in segments of SEGMENT characters that
+fewest bits per character wins, where a phrase names a place in the language's own sample or a letter. Texts are parsed whole, in segments of SEGMENT characters that
 advance through the tables side by side.
 """
 
@@ -73,10 +73,10 @@ class Parser:
 
     def __init__(self, model: dict[str, str]):
         self.langs = sorted(model)
-        self.size = max([2, *map(len, model.values())])
         seen = sorted({c for t in model.values() for c in t} - {" "})
         # 0 pads, 1 is a space, 2 a letter that no language has
         self.width = len(seen) + 3
+        self.bits = np.array([[math.log2(len(model[k]) + self.width)] for k in self.langs])
         self.classes = np.where(_letters(), 2, 1).astype(np.uint16)
         for i, c in enumerate(seen):
             for form in {c, *(u for u in (c.upper(), c.title()) if len(u) == 1)}:
@@ -144,8 +144,8 @@ class Parser:
             return langs, scores
         for a, b in sub_batches(texts, 500_000):
             phrases, chars, letters = self.counts(texts[a:b])
-            best = phrases.argmin(0)
-            bits = phrases * math.log2(self.size) / np.maximum(chars, 1)
+            bits = phrases * self.bits / np.maximum(chars, 1)
+            best = bits.argmin(0)
             weight = np.exp2(8 * (bits.min(0) - bits))
             score = 1 / weight.sum(0)
             for i in np.flatnonzero(letters):
@@ -162,10 +162,10 @@ holds("language_id", _parser.cache_clear)
 
 
 def fit(rows: DataFrame) -> dict[str, str]:
-    """Equally long labelled text of each language, from columns doc_id, lang and text.
+    """Labelled text of each language, from columns doc_id, lang and text.
 
-    The sample is bounded by DOCS, LINE and CHARS for each language; rows are drawn by a hash of
-    their id. Rows without an id, a language or a letter teach nothing.
+    The sample is bounded by DOCS, LINE and CHARS for each language; rows are drawn by a hash of their id.
+    Rows without an id, a language or a letter teach nothing.
     """
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), F.col("text"))
@@ -175,8 +175,7 @@ def fit(rows: DataFrame) -> dict[str, str]:
     for lang, draw, text in drawn.select("lang", "draw", F.substring("text", 1, LINE)).collect():
         texts.setdefault(lang, []).append((draw, squeeze(text)))
     whole = {k: " ".join(t for _, t in sorted(v))[:CHARS] for k, v in texts.items()}
-    shortest = min(map(len, whole.values()), default=0)
-    return {k: t[:shortest] for k, t in whole.items() if shortest}
+    return {k: t for k, t in whole.items() if t}
 
 
 def predictor(model: dict[str, str]):

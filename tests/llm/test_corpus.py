@@ -152,6 +152,14 @@ def test_language_id_held_out(spark, docs, none):
     assert all(by[i] == "und" for i in (4, 5, 6, 12)) and language_id.keep_identified(docs).columns == docs.columns
     assert language_id.keep_identified(none).count() == 0
 
+def test_language_id_with_a_rare_short_language(spark):
+    d = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang", "text").where("lang is not null and text is not null")
+    rare = spark.createDataFrame([(10**9, "zz", "abcdefghij"), (10**9 + 1, "yy", "x")], "doc_id long, lang string, text string")
+    model = language_id.fit(d.unionByName(rare))
+    assert len(model["zz"]) == 10 and min(len(t) for k, t in model.items() if len(k) == 2 and k not in ("yy", "zz")) > 5000
+    got = language_id.identify(d, model).where("__lang.lang_pred <> 'und'").select("lang", "__lang.lang_pred").toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.9
+
 def test_lattice_against_all_segmentations():
     import math
 
