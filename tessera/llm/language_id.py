@@ -13,13 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import claim, documents, holds, id_remainder, is_remainder, sub_batches
 from tessera.session import ship
 
-#: Bound of the labelled sample: about DOCS rows a language, LINE characters of each, CHARS in all.
+#: Bound of the labelled sample: about DOCS rows a language and CHARS in all; of a row LINE characters
+#: of its letters, or more where the language would not come to CHARS.
 DOCS, LINE, CHARS = 96, 600, 20_000
 SEGMENT, LANES = 256, 4096
 UNDETERMINED = "und"
@@ -161,6 +162,12 @@ def _parser(model: tuple) -> Parser:
 holds("language_id", _parser.cache_clear)
 
 
+def _stretch(most: Column) -> Column:
+    """At most so many characters of the text, from anywhere in it, by its draw."""
+    spare = F.greatest(F.length("text") - most, F.lit(0)) + 1
+    return F.substring(F.col("text"), (F.pmod("draw", spare) + 1).cast("int"), most)
+
+
 def fit(rows: DataFrame) -> dict[str, str]:
     """Labelled text of each language, from columns doc_id, lang and text.
 
@@ -171,10 +178,18 @@ def fit(rows: DataFrame) -> dict[str, str]:
     known = known.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), F.col("text"))
     share = known.groupBy("lang").agg((F.lit(float(DOCS << 30)) / F.count(F.lit(1))).alias("most"))
     drawn = known.join(F.broadcast(share), "lang").where(F.col("draw") < F.col("most"))
+    letters = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    drawn = drawn.select("lang", "draw", letters.alias("text")).select("lang", "draw", _stretch(F.lit(CHARS)).alias("text"))
+    # rows from short to long: the level to which all can be cut so that CHARS remain
+    ascending = Window.partitionBy("lang").orderBy(F.length("text"), "draw", "text")
+    before = F.coalesce(F.sum(F.length("text") + 1).over(ascending.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.count(F.lit(1)).over(Window.partitionBy("lang")) - F.row_number().over(ascending) + 1
+    level = F.max("level").over(Window.partitionBy("lang"))
+    cut = drawn.withColumn("level", F.ceil((CHARS - before) / left)).withColumn("level", F.greatest(level, F.lit(LINE)).cast("int"))
     texts: dict[str, list] = {}
-    for lang, draw, text in drawn.select("lang", "draw", F.substring("text", 1, LINE)).collect():
+    for lang, draw, text in cut.select("lang", "draw", _stretch(F.col("level"))).collect():
         texts.setdefault(lang, []).append((draw, squeeze(text)))
-    whole = {k: " ".join(t for _, t in sorted(v))[:CHARS] for k, v in texts.items()}
+    whole = {k: " ".join(t for _, t in sorted(v) if t)[:CHARS] for k, v in texts.items()}
     return {k: t for k, t in whole.items() if t}
 
 

@@ -160,6 +160,16 @@ def test_language_id_with_a_rare_short_language(spark):
     got = language_id.identify(d, model).where("__lang.lang_pred <> 'und'").select("lang", "__lang.lang_pred").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.9
 
+def test_language_id_of_texts_that_open_without_letters(spark):
+    table = "12 | 34 | -- | " * 60
+    said = {"aa": "the quick brown fox jumps over the lazy dog and ", "bb": "der schnelle braune fuchs springt immer wieder "}
+    rows = [(1, "aa", said["aa"] * 400)] + [(i, "bb", table + said["bb"] * 400) for i in (2, 3)] + [(4, "cc", table + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.fit(df)
+    assert len(model["aa"]) > 18_000 and len(model["bb"]) > 19_900 and model["cc"] == "x"
+    got = {r["doc_id"]: r["p"] for r in language_id.identify(df, model).select("doc_id", F.col("__lang.lang_pred").alias("p")).collect()}
+    assert (got[1], got[2], got[3]) == ("aa", "bb", "bb")
+
 def test_lattice_against_all_segmentations():
     import math
 
