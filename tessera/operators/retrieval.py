@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tessera.functions.text import words
 from tessera.functions.vector import cosine, vector
 from tessera.plans.config import RetrievalConfig
 
-#: Queries up to which they are broadcast to a scan of the vectors.
+#: About as many queries are broadcast to one scan of the vectors.
 BROADCAST_QUERIES = 10_000
 
 
@@ -26,14 +27,17 @@ def top_k(df: DataFrame, query: Sequence[float], k: int = 6, id_col: str = "vec_
 
 
 def top_k_batch(df: DataFrame, queries: DataFrame, k: int = 6, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k nearest rows of each of a bounded set of queries (query_id, query array).
+    """The k nearest rows of each of a set of queries (query_id, query array).
 
-    The queries travel to the scan; a row meets each of them once. Ranking keeps k rows a query in
-    every task before the shuffle.
+    The queries travel to the scan, in blocks of about BROADCAST_QUERIES by a hash of their id; a row
+    meets each of them once. Ranking keeps k rows a query in every task before the shuffle.
     """
-    n = queries.count()
-    if n > BROADCAST_QUERIES:
-        raise ValueError(f"{n} queries; split them into sets of at most {BROADCAST_QUERIES}")
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (_top_k_block(df, queries.where(block == i), k, id_col, embedding) for i in range(blocks)))
+
+
+def _top_k_block(df: DataFrame, queries: DataFrame, k: int, id_col: str, embedding: str) -> DataFrame:
     packed = queries.agg(F.collect_list(F.struct("query_id", vector("query").alias("q"))).alias("__queries"))
     pairs = df.join(F.broadcast(packed)).withColumn("__q", F.explode("__queries")).drop("__queries")
     scored = pairs.withColumn("similarity", cosine(embedding, F.col("__q.q"))).where(F.col("similarity").isNotNull())

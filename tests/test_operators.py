@@ -84,6 +84,18 @@ def mmr_by_hand(q, rows, k, fetch, weight):
     return chosen
 
 
+def test_batch_search_goes_through_all_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 16)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.top_k_batch(df, asked, 3).collect()}
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :3]
+    assert got == {(i, k + 1): int(best[i, k]) for i in range(60) for k in range(3)}
+
+
 @pytest.mark.parametrize("weight", [0.0, 0.6, 1.0])
 def test_mmr_against_numpy(spark, weight):
     rng = np.random.default_rng(3)
