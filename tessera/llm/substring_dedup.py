@@ -3,8 +3,8 @@
 Windows of WINDOW words are routed by their minimiser, the least hash among the ANCHOR-word phrases
 inside: equal windows share it, so each shard sees every occurrence of its windows, and neighbouring
 windows with one minimiser travel as one segment. A shard confirms which windows recur in several
-documents, compiles them into one Aho-Corasick automaton over its own word alphabet, and streams all
-its segments through it to locate every occurrence after the first document's.
+documents, compiles them into one Aho-Corasick automaton over its own word alphabet, and streams the words
+inside windows whose hash recurs through it for every occurrence after the first document's.
 """
 
 from __future__ import annotations
