@@ -1,15 +1,18 @@
 """Substring deduplication with repeated-phrase automata.
 
-Windows of WINDOW words are routed by their minimiser, the least hash among the ANCHOR-word phrases
-inside: equal windows share it, so each shard sees every occurrence of its windows, and neighbouring
-windows with one minimiser travel as one segment. A shard confirms which windows recur in several
-documents, compiles them into one Aho-Corasick automaton over its own word alphabet, and streams the words
-inside windows whose hash recurs through it for every occurrence after the first document's.
+Documents travel in compressed batches. A window of WINDOW words is known by its minimiser, the
+least hash among the ANCHOR-word phrases inside, so equal windows share it and neighbouring windows
+with one minimiser form a segment. First only minimisers are exchanged, one for each batch that has
+it; a batch then sends the segments whose minimiser occurs in several documents, each distinct text
+once with the least and greatest document that holds it. A shard confirms word by word which passages
+recur, compiles them into one Aho-Corasick automaton over its own word alphabet, and streams every
+segment of every document through it; what the automaton finds is what goes. Windows of a minimiser
+that is in more than HOT documents travel one by one, by their own hash, so no shard gathers all the
+places of a common phrase.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,25 +20,24 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, sub_batches, whole_text
-from tessera.session import settle, ship
+from tessera.llm.common import documents, whole_text
+from tessera.session import settle, ship, shuffle_partitions
 
 WINDOW, ANCHOR = 13, 5
-#: Mean documents whose windows a shard holds, and the least number of shards.
-PER_SHARD, SHARDS = 1000, 64
+#: Characters of a batch; documents above which a minimiser's windows travel one by one.
+CHARS, HOT = 8_000_000, 4096
+NEVER = np.iinfo(np.int64).max
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
+class Numbers(dict):
     def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_WORDS = Words()
+        n = self[word] = len(self)
+        return n
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,177 +71,321 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
 
-def _pack(words: np.ndarray, lengths: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, done: np.ndarray) -> bytes:
-    """One blob of segments, and of segments (doc, tag, pos, windows) that are known to go."""
-    head = np.array([len(lengths), len(words), len(done)], np.int64)
-    parts = [head, lengths.astype(np.int32), pos.astype(np.int32), doc, tag, words, done]
-    return zstandard.compress(b"".join(p.tobytes() for p in parts), 1)
+def pack(*parts) -> bytes:
+    """Byte strings, and arrays by planes of bytes, each with its length before it."""
+    raw = []
+    for p in parts:
+        if not isinstance(p, bytes):
+            p = np.ascontiguousarray(p)
+            p = p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes()
+        raw.append(len(p).to_bytes(8, "little") + p)
+    return zstandard.compress(b"".join(raw), 3)
+
+
+def unpack(blob: bytes, *kinds) -> list:
+    raw, at, out = zstandard.decompress(blob), 0, []
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        part = raw[at + 8 : at + 8 + n]
+        if kind is not bytes:
+            planes = np.frombuffer(part, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+            part = np.ascontiguousarray(planes.T).view(kind).ravel()
+        out.append(part)
+        at += 8 + n
+    return out
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    s, w, d = np.frombuffer(raw, np.int64, 3)
-    at, out = 24, []
-    for kind, n in ((np.int32, s), (np.int32, s), (np.int64, s), (np.int64, s), (np.uint64, w), (np.int64, 4 * d)):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    return out
+class Batch:
+    """Numbered words of some texts, and the segments of their windows in order."""
+
+    def __init__(self, texts: list[bytes], ids: np.ndarray):
+        numbers = Numbers()
+        lists = [np.fromiter(map(numbers.__getitem__, t.split()), np.int32) for t in texts]
+        self.vocabulary = list(numbers)
+        self.lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.words = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        self.doc = np.repeat(ids, self.lengths)
+        owner = np.repeat(np.arange(len(lists)), self.lengths)
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(self.vocabulary))[self.words]
+        spans = max(0, len(self.words) - WINDOW + 1)
+        at = np.flatnonzero(owner[:spans] == owner[WINDOW - 1 :][:spans])
+        least = _window_min(phrase_hashes(self.hashes, ANCHOR), WINDOW - ANCHOR + 1)[at] if len(at) else np.zeros(0, np.uint64)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
+        cut = np.flatnonzero(new)
+        self.start, self.count, self.key = at[cut], np.diff(np.append(cut, len(at))), least[cut]
+
+    def anchors(self, shards: int):
+        """Distinct minimisers by shard and hash: shard, hash, number of each segment's, least document, documents."""
+        keys, of = np.unique(self.key, return_inverse=True)
+        shard = keys % np.uint64(shards)
+        order = np.lexsort((keys, shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        of = place[of]
+        doc = self.doc[self.start]
+        by = np.lexsort((doc, of))
+        other = np.ones(len(by), bool)
+        other[1:] = (of[by][1:] != of[by][:-1]) | (doc[by][1:] != doc[by][:-1])
+        docs = np.bincount(of[by][other], minlength=len(keys))
+        first = np.searchsorted(of[by], np.arange(len(keys)))
+        return shard[order].astype(np.int64), keys[order], of, doc[by][first] if len(by) else doc, docs
+
+
+def _cuts(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run."""
+    at = np.flatnonzero(np.diff(sorted_values, prepend=-1))
+    for a, b in zip(at, [*at[1:], len(sorted_values)][: len(at)], strict=True):
+        yield int(sorted_values[a]), int(a), int(b)
+
+
+ROWS = "batch long, shard long, kind int, blob binary"
+TEXTS, ANCHORS, OWN, PASSAGES = range(4)
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["batch", "shard", "kind", "blob"])
+
+
+def open_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, which of them are null, and texts."""
+    ids, null, sizes, raw = unpack(blob, np.int64, bool, np.int64, bytes)
+    ends = np.cumsum(sizes).tolist()
+    return ids, null, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def taught(null: np.ndarray, texts: list[bytes]) -> list[bytes]:
+    """The texts; those without an id are left out of all comparisons."""
+    return [b"" if gone else t for gone, t in zip(null.tolist(), texts, strict=True)]
+
+
+def _send_anchors(shards: int):
+    """Batches of texts, and the minimisers of each for every shard."""
+
+    def rows_of(number: int, ids: list, texts: list[bytes]) -> pd.DataFrame:
+        null = np.array([i is None for i in ids])
+        known = np.array([i if i is not None else 0 for i in ids], np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = [(number, -1, TEXTS, pack(known, null, sizes, b"".join(texts)))]
+        shard, keys, _, doc, docs = Batch(taught(null, texts), known).anchors(shards)
+        for s, a, b in _cuts(shard):
+            out.append((number, s, ANCHORS, pack(keys[a:b], doc[a:b], np.minimum(docs[a:b], 65535).astype(np.uint16))))
+        return _rows(out)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, chars = [], [], 0
+        for rows in batches:
+            for i, t in zip(rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None), rows["text"], strict=True):
+                ids.append(i)
+                texts.append(t.encode("utf-8", "replace"))
+                chars += len(t)
+                if chars >= CHARS:
+                    yield rows_of(number, ids, texts)
+                    ids, texts, chars, number = [], [], 0, number + 1
+        if ids:
+            yield rows_of(number, ids, texts)
+
+    return send
+
+
+def _find_recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each blob of minimisers whether each is in one document (0), several (1) or many (2)."""
+    rows = [r for b in batches for r in zip(b["batch"], b["shard"], b["blob"], strict=True)]
+    if not rows:
+        return
+    opened = [unpack(blob, np.uint64, np.int64, np.uint16) for _, _, blob in rows]
+    keys, doc, docs = (np.concatenate(x) for x in zip(*opened, strict=True))
+    order = np.argsort(keys, kind="stable")
+    lead = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    doc, docs = doc[order], docs[order].astype(np.int64)
+    n = np.add.reduceat(docs, lead)
+    several = (np.minimum.reduceat(doc, lead) < np.maximum.reduceat(doc, lead)) | (np.maximum.reduceat(docs, lead) > 1)
+    state = np.empty(len(keys), np.uint8)
+    state[order] = np.repeat((several * (1 + (n > HOT))).astype(np.uint8), np.diff(np.append(lead, len(keys))))
+    at = 0
+    for (batch, shard, _), (mine, *_) in zip(rows, opened, strict=True):
+        yield _rows([(batch, shard, ANCHORS, pack(state[at : at + len(mine)]))])
+        at += len(mine)
+
+
+def _send_passages(shards: int):
+    """Segments of recurring minimisers, each distinct one of a batch once, and the batch's own notes
+    (kind OWN) of where each is."""
+
+    def send(batch: int, blob: bytes, replies: pd.DataFrame) -> pd.DataFrame:
+        ids, null, texts = open_texts(blob)
+        mine = Batch(taught(null, texts), ids)
+        if not len(mine.start):
+            return _rows([])
+        _, _, of, _, _ = mine.anchors(shards)
+        state = np.concatenate([unpack(b, np.uint8)[0] for b in replies.sort_values("shard")["blob"]])[of]
+        whole, hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
+        single = _ranges(mine.start[hot], mine.count[hot])
+        start = np.concatenate((mine.start[whole], single))
+        count = np.concatenate((mine.count[whole], np.ones(len(single), np.int64)))
+        key = np.concatenate((mine.key[whole], phrase_hashes(mine.hashes, WINDOW)[single] if len(single) else np.zeros(0, np.uint64)))
+        raw, doc = mine.words, mine.doc[start]
+        numbers = Numbers()
+        ends = (start + count + WINDOW - 1).tolist()
+        rep = np.fromiter((numbers[raw[a:b].tobytes()] for a, b in zip(start.tolist(), ends, strict=True)), np.int64, len(start))
+        if not len(rep):
+            return _rows([])
+        by = np.lexsort((doc, rep))
+        lead = np.flatnonzero(np.concatenate(([True], rep[by][1:] != rep[by][:-1])))
+        low, high, first = np.minimum.reduceat(doc[by], lead), np.maximum.reduceat(doc[by], lead), by[lead]
+        out = [(batch, batch % shards, OWN, pack(start, count, rep))]
+        shard = (key[first] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        for s, a, b in _cuts(shard[order]):
+            these = order[a:b]
+            said = b"\n".join([b" ".join([mine.vocabulary[w] for w in raw[start[i] : ends[i]].tolist()]) for i in first[these].tolist()])
+            out.append((batch, s, PASSAGES, pack(said, these.astype(np.int32), low[these], high[these])))
+        return _rows(out)
+
+    def group(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        return send(int(texts["batch"].iloc[0]), texts["blob"].iloc[0], replies) if len(texts) and len(replies) else _rows([])
+
+    return group
+
+
+def compile_automaton(spelled: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, word in enumerate(spelled):
+        automaton.add_word(word, i)
+    automaton.make_automaton()
+    return automaton
 
 
-def segment(ids: list[int], tags: list[int], texts: list[str], shards: int) -> dict[int, bytes]:
-    """Blobs by shard. Of equal segments in these texts only the smallest document's travel; the
-    others' windows start in that document too, so they go whatever other texts hold."""
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
-    lists = [t.encode("utf-8", "replace").split() for t in texts]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    words = np.fromiter((_WORDS[w] for ws in lists for w in ws), np.uint64, int(n.sum()))
-    del lists
-    owner = np.repeat(np.arange(len(n)), n)
-    first = np.cumsum(n) - n
-    if len(words) < WINDOW:
-        return {}
-    least = _window_min(phrase_hashes(words, ANCHOR), WINDOW - ANCHOR + 1)
-    whole = phrase_hashes(words, WINDOW)
-    ok = owner[: len(whole)] == owner[WINDOW - 1 :]
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return {}
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
-    cut = np.flatnonzero(new)
-    start = at[cut]
-    count = np.diff(np.append(cut, len(at)))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(whole[at])))
-    key = _mix((sums[cut + count] - sums[cut]) * _P + count.astype(np.uint64))
-    doc = np.array(ids, np.int64)[owner[start]]
-    tag = np.array(tags, np.int64)[owner[start]]
-    pos = start - first[owner[start]]
-    order = np.lexsort((doc, key))
-    lead = np.ones(len(order), bool)
-    lead[1:] = key[order][1:] != key[order][:-1]
-    group = np.cumsum(lead) - 1
-    head = order[lead][group]  # the smallest document's occurrence, for each in order
-    same = (count[order] == count[head]) & (words[start[order]] == words[start[head]]) & (words[start[order] + WINDOW - 1] == words[start[head] + WINDOW - 1])
-    later = np.zeros(len(order), bool)
-    later[order] = same & (doc[order] > doc[head])
-    shard = (least[start] % np.uint64(shards)).astype(np.int64)
-    by = np.argsort(shard, kind="stable")
-    bounds = np.flatnonzero(np.diff(shard[by], prepend=-1))
-    out = {}
-    for a, b in zip(bounds, np.append(bounds[1:], len(by)), strict=True):
-        mine = by[a:b]
-        gone, go = mine[later[mine]], mine[~later[mine]]
-        lengths = count[go] + WINDOW - 1
-        done = np.stack((doc[gone], tag[gone], pos[gone], count[gone]), 1)
-        out[int(shard[mine[0]])] = _pack(words[_ranges(start[go], lengths)], lengths, doc[go], tag[go], pos[go], done)
-    return out
+class Alphabet:
+    """Two letters for each word, so that no node of an automaton has many children."""
 
+    def __init__(self, size: int):
+        self.base = int(np.ceil(np.sqrt(max(1, size))))
 
-def _segments(shards: int):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ids, tags, texts = rows["doc_id"].tolist(), rows["tag"].tolist(), rows["text"].tolist()
-            for a, b in sub_batches(texts):
-                blobs = segment(ids[a:b], tags[a:b], texts[a:b], shards)
-                yield pd.DataFrame({"shard": list(blobs), "blob": list(blobs.values())})
-
-    return make
-
-
-def locate(words: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Starts of windows that also start in a smaller document. ``valid`` marks starts of windows,
-    ``doc`` is the document at every word."""
-    at = np.flatnonzero(valid)
-    if not len(at):
-        return at
-    key = phrase_hashes(words, WINDOW)[at]
-    order = np.argsort(key, kind="stable")
-    at, key = at[order], key[order]
-    lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    smallest, largest = np.minimum.reduceat(doc[at], lead), np.maximum.reduceat(doc[at], lead)
-    recurs = smallest < largest
-    if not recurs.any():
-        return at[:0]
-    # the phrases themselves, confirmed word by word against every occurrence
-    pattern = at[lead[recurs]]
-    size = np.diff(np.append(lead, len(at)))[recurs]
-    members = at[_ranges(lead[recurs], size)]
-    which = np.repeat(np.arange(len(pattern)), size)
-    span = np.arange(WINDOW)
-    equal = np.concatenate([(words[members[i : i + 200_000, None] + span] == words[pattern[which[i : i + 200_000], None] + span]).all(1) for i in range(0, len(members), 200_000)])
-    earliest = np.full(len(pattern), np.iinfo(np.int64).max)
-    np.minimum.at(earliest, which[equal], doc[members[equal]])
-    # two letters for each word of a phrase, so that no node of the automaton has many children
-    phrases = words[pattern[:, None] + span]
-    alphabet = np.unique(phrases)
-    base = int(np.ceil(np.sqrt(len(alphabet))))
-
-    def spell(code: np.ndarray, known: np.ndarray | bool = True) -> str:
-        pair = np.stack((code // base, base + code % base), -1) + 1
-        pair = np.where(np.asarray(known)[..., None], pair, 0)
+    def spell(self, codes: np.ndarray) -> str:
+        """Words by number; -1 is a gap that matches nothing."""
+        pair = np.stack((codes // self.base, self.base + codes % self.base), -1) + 1
+        pair = np.where((codes < 0)[:, None], 0, pair)
         return (pair + 0x800 * (pair >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
 
-    spelled = spell(np.searchsorted(alphabet, phrases))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i in range(len(pattern)):
-        automaton.add_word(spelled[2 * i * WINDOW : 2 * (i + 1) * WINDOW], i)
-    automaton.make_automaton()
-    # words outside every window whose hash recurs can't be in a match; one of them stays as a gap
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, members, 1)
-    np.add.at(edge, members + WINDOW, -1)
-    inside = np.cumsum(edge[:-1]) > 0
-    stay = inside.copy()
-    stay[1:] |= inside[:-1]
-    streamed = np.flatnonzero(stay)
-    found = []
-    for a in range(0, len(streamed), 1 << 20):
-        at = streamed[a : a + (1 << 20) + WINDOW - 1]
-        part = words[at]
-        code = np.minimum(np.searchsorted(alphabet, part), len(alphabet) - 1)
-        hits = np.array(list(automaton.iter(spell(code, inside[at] & (alphabet[code] == part)))), np.int64).reshape(-1, 2)
-        start = at[hits[:, 0] // 2] - (WINDOW - 1)
-        found.append(start[valid[start] & (earliest[hits[:, 1]] < doc[start])])
-    return np.concatenate(found)
-
-
-def _shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """doc_id, tag and spans of the windows that go: bytes of (start, windows) pairs."""
-    lengths, pos, doc, tag, words, done = (np.concatenate(x) for x in zip(*map(_unpack, rows["blob"]), strict=True))
-    done = done.reshape(-1, 4)
-    ends = np.cumsum(lengths)
-    offset = np.arange(len(words)) - np.repeat(ends - lengths, lengths)
-    valid = offset <= np.repeat(lengths, lengths) - WINDOW
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    start = np.unique(locate(words, valid, doc[owner]))
-    of = owner[start]
-    gone = np.stack((doc[of], tag[of], pos[of] + offset[start], np.ones(len(start), np.int64)), 1)
-    gone = np.concatenate((gone, done))
-    gone = gone[np.lexsort((gone[:, 2], gone[:, 1], gone[:, 0]))]
-    cut = np.flatnonzero(np.concatenate(([True], (gone[1:, :2] != gone[:-1, :2]).any(1)))) if len(gone) else np.zeros(0, np.int64)
-    spans = [gone[a:b, 2:].astype(np.int32).tobytes() for a, b in zip(cut, [*cut[1:], len(gone)][: len(cut)], strict=True)]
-    return pd.DataFrame({"doc_id": gone[cut, 0], "tag": gone[cut, 1], "spans": spans})
-
-
-def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def locate(passages: list[list[int]], low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """For each window of distinct passages (lists of word numbers) the smallest document that an
+    automaton finds it in, or NEVER. Documents low to high hold a passage.
+
+    Patterns are the passages that several documents hold, and the windows that another passage of a
+    smaller document shares; the automaton streams all passages.
+    """
+    sizes = np.fromiter(map(len, passages), np.int64, len(passages))
+    words = np.fromiter((w for p in passages for w in p), np.int64, int(sizes.sum()))
+    first = np.cumsum(sizes) - sizes
+    windows = sizes - WINDOW + 1
+    at = _ranges(first, windows)
+    of = np.repeat(np.arange(len(passages)), windows)
+    rows = np.ascontiguousarray(words[at[:, None] + np.arange(WINDOW)].astype(np.int32))
+    whole = rows.view(f"V{4 * WINDOW}").ravel()
+    by = np.argsort(whole, kind="stable")  # by all their words
+    lead = np.flatnonzero(np.concatenate(([True], (rows[by][1:] != rows[by][:-1]).any(1))))
+    least, most = np.minimum.reduceat(low[of[by]], lead), np.maximum.reduceat(low[of[by]], lead)
+    shared = np.flatnonzero(least < most)
+    recurring = np.flatnonzero(low < high)
+    alphabet = Alphabet(int(words.max()) + 1)
+    text = alphabet.spell(words)
+    starts, lengths = np.concatenate((first[recurring], at[by[lead[shared]]])), np.concatenate((sizes[recurring], np.full(len(shared), WINDOW)))
+    earliest = np.concatenate((low[recurring], least[shared]))
+    # of equal patterns the earliest document counts
+    patterns: dict[str, int] = {}
+    for i, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+        word = text[2 * a : 2 * (a + n)]
+        if word not in patterns or earliest[i] < earliest[patterns[word]]:
+            patterns[word] = i
+    found = np.full(len(words), NEVER)
+    if patterns:
+        chosen = np.fromiter(patterns.values(), np.int64, len(patterns))
+        automaton = compile_automaton(list(patterns))
+        # a gap between two passages
+        gapped = np.insert(words, first, -1)
+        place = np.insert(np.arange(len(words)), first, -1)
+        for a, b in _stretches(first + np.arange(len(first)), len(gapped)):
+            hits = np.array(list(automaton.iter(alphabet.spell(gapped[a:b]))), np.int64).reshape(-1, 2)
+            which = chosen[hits[:, 1]]
+            begin, n = place[a + hits[:, 0] // 2] - lengths[which] + 1, lengths[which] - WINDOW + 1
+            np.minimum.at(found, _ranges(begin, n), np.repeat(earliest[which], n))
+    return np.split(found[at], np.cumsum(windows)[:-1])
+
+
+def _stretches(starts: np.ndarray, end: int, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of whole passages, of about ``most`` words."""
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + most)))
+        yield int(starts[a]), int(starts[b]) if b < len(starts) else end
+        a = b
+
+
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each batch's passages the documents that make their windows go; its notes pass."""
+    sent, known, numbers, low, high = [], Numbers(), Numbers(), [], []
     for rows in batches:
-        total, removed, kept = [], [], []
-        for text, spans in zip(rows["text"], rows["spans"], strict=True):
-            words = text.encode("utf-8", "replace").split()
-            total.append(len(words))
-            gone = 0
-            if spans is not None and len(spans):
-                pairs = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2)
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 0] + pairs[:, 1] + WINDOW - 1, -1)
-                stay = np.cumsum(edge[:-1]) == 0
-                gone = len(words) - int(stay.sum())
-                words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-            removed.append(gone)
-            kept.append(b" ".join(words).decode("utf-8"))
-        yield pd.DataFrame({"doc_id": rows["doc_id"].array, "n_words": total, "n_removed": removed, "kept_text": kept})
+        yield _rows([r for r in zip(rows["batch"], rows["shard"], rows["kind"], rows["blob"], strict=True) if r[2] == OWN])
+        for batch, shard, kind, blob in zip(rows["batch"], rows["shard"], rows["kind"], rows["blob"], strict=True):
+            if kind != PASSAGES:
+                continue
+            raw, ref, least, most = unpack(blob, bytes, np.int32, np.int64, np.int64)
+            which = np.fromiter(map(known.__getitem__, raw.split(b"\n")), np.int64, len(ref))
+            sent.append((batch, shard, ref, which))
+            low.append((which, least))
+            high.append((which, most))
+    if not sent:
+        return
+    least, most = np.full(len(known), NEVER), np.full(len(known), np.iinfo(np.int64).min)
+    for which, x in low:
+        np.minimum.at(least, which, x)
+    for which, x in high:
+        np.maximum.at(most, which, x)
+    found = locate([[numbers[w] for w in p.split(b" ")] for p in known], least, most)
+    some = np.array([(f < NEVER).any() for f in found])
+    for batch, shard, ref, which in sent:
+        go = some[which]
+        if go.any():
+            parts = [found[i] for i in which[go].tolist()]
+            yield _rows([(batch, shard, PASSAGES, pack(ref[go], np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)))])
+
+
+def _strip(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, n_words, n_removed and kept_text of a batch's documents."""
+    if not len(texts):
+        return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []})
+    ids, null, raw = open_texts(texts["blob"].iloc[0])
+    lists = [t.split() for t in raw]
+    counted = np.where(null, 0, np.fromiter(map(len, lists), np.int64, len(lists)))  # words that were compared
+    gone = np.zeros(int(counted.sum()) + 1, np.int64)
+    notes = replies[replies["kind"] == OWN]
+    answers = replies[replies["kind"] == PASSAGES]
+    if len(notes) and len(answers):
+        start, count, rep = unpack(notes["blob"].iloc[0], np.int64, np.int64, np.int64)
+        opened = [unpack(b, np.int32, np.int64, np.int64) for b in answers["blob"]]
+        ref, sizes, earliest = (np.concatenate(x) for x in zip(*opened, strict=True))
+        offset = np.full(rep.max() + 1, -1)
+        offset[ref] = np.cumsum(sizes) - sizes
+        hit = offset[rep] >= 0
+        at = _ranges(start[hit], count[hit])
+        at = at[earliest[_ranges(offset[rep[hit]], count[hit])] < np.repeat(ids, counted)[at]]
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + WINDOW, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    ends = np.cumsum(counted)
+    n_words, n_removed, kept = [], [], []
+    for words, known, end in zip(lists, counted.tolist(), ends.tolist(), strict=True):
+        out = gone[end - known : end]
+        removed = int(out.sum())
+        n_words.append(len(words))
+        n_removed.append(removed)
+        kept.append(b" ".join([w for w, g in zip(words, out.tolist(), strict=True) if not g] if removed else words).decode("utf-8"))
+    doc_id = pd.array(ids, "Int64")
+    doc_id[null] = pd.NA
+    return pd.DataFrame({"doc_id": doc_id, "n_words": n_words, "n_removed": n_removed, "kept_text": kept})
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
@@ -251,12 +397,18 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("tag"))
-    shards = max(SHARDS, rows.count() // PER_SHARD)
-    sent = rows.where("doc_id is not null").mapInPandas(_segments(shards), "shard long, blob binary")
-    spans = settle(sent.groupBy("shard").applyInPandas(_shard, "doc_id long, tag long, spans binary"))
-    each = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
-    return rows.join(each, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInPandas(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
+    shards = shuffle_partitions(spark)  # a shard is a partition, so shards grow with the input as partitions do
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    sent = settle(rows.mapInPandas(_send_anchors(shards), ROWS))
+    texts = sent.where(F.col("kind") == TEXTS).select("batch", "blob")
+
+    def by_shard(table: DataFrame, search) -> DataFrame:
+        return table.repartitionById(shards, F.col("shard").cast("int")).mapInPandas(search, ROWS)
+
+    recurring = by_shard(sent.where(F.col("kind") == ANCHORS), _find_recurring)
+    passages = texts.groupBy("batch").cogroup(recurring.groupBy("batch")).applyInPandas(_send_passages(shards), ROWS)
+    found = by_shard(passages, _search)
+    return texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(_strip, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
