@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Documents become token pieces of at most CAPACITY. Pools of pieces are packed by best fit, longest
-first; then underfull bins exchange pieces one-for-one or two-for-one, or move them, whenever the
-fuller bin of the two gains (which raises the sum of squared fills), until bins empty. Bins that
-stay underfull are opened again and their pieces packed in the next, smaller round of pools.
+first; then any two underfull bins exchange pieces one-for-one, two-for-one or one-for-two, or move them,
+whenever that raises the sum of squared fills, so the emptiest bins run empty. A search ends when no
+exchange is left or a lower bound shows that no packing has fewer bins. Bins that stay underfull are opened again and their pieces packed in the next, smaller round of pools.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import os
 import zlib
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from tessera.llm.token_counts import byte_letters
 from tessera.session import settle, ship
 
 CAPACITY = 2048
-#: Mean pieces of a pool; fill below which a bin is opened again; fuller bins that a search tries.
-POOL, FULL, PARTNERS = 4096, 0.97, 64
+#: Mean pieces of a pool; fill below which a bin is opened again; items of a bin, the largest, that may go in twos.
+POOL, FULL, PAIRED = 4096, 0.97, 8
 END = np.zeros(1, "<u4").tobytes()
 #: Fixed value: the splitter of byte-level vocabularies.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,46 +135,123 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(low: list[int], high: list[int], room: int, sizes: list[int]) -> tuple[list[int], list[int], int]:
-    """What to give from the emptier to the fuller bin, what to take back, and the fuller one's gain."""
-    best = ([], [], 0)
-    backs = sorted([(0, [])] + [(sizes[a], [a]) for a in high])
-    pairs = [(sizes[a] + sizes[b], [a, b]) for x, a in enumerate(high) for b in high[x + 1 :]]
-    gives = [(sizes[b], [b]) for b in low]
-    twos = [(sizes[a] + sizes[b], [a, b]) for x, a in enumerate(low) for b in low[x + 1 :]]
-    for left, right in ((gives, sorted(backs + pairs)), (twos, backs)):
-        keys = [k for k, _ in right]
-        for size, give in left:
-            at = bisect.bisect_left(keys, size - room)  # the smallest return that makes it fit
-            if at < len(keys) and size - keys[at] > best[2]:
-                best = (give, right[at][1], size - keys[at])
-                if best[2] == room:
-                    return best
-    return best
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Bins that any packing needs: items above half a bin can't share one, and for each least size
+    the items between it and half a bin must go beside those that leave room, or in bins of their own."""
+    x = np.sort(np.asarray(sizes, np.int64))
+    if not len(x):
+        return 0
+    sums = np.concatenate(([0], np.cumsum(x)))
+    half = int(np.searchsorted(x, capacity // 2, "right"))  # from here on items exceed half a bin
+    first = np.unique(np.searchsorted(x[:half], np.concatenate(([0], x[:half]))))  # small items from here on count
+    beside = np.maximum(half, np.searchsorted(x, capacity - x[np.minimum(first, len(x) - 1)], "right"))
+    beside = np.where(first < half, beside, half)
+    spare = (beside - half) * capacity - (sums[beside] - sums[half])
+    rest = -(-(sums[half] - sums[first] - spare) // capacity)
+    return int((len(x) - half + np.maximum(rest, 0)).max())
+
+
+class Search:
+    """Underfull bins as rows of a matrix of what each can give back: nothing, one item, two items."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.sizes, self.capacity = [list(b) for b in bins], sizes, capacity
+        self.singles = max(map(len, bins)) + 2
+        self.pairs = min(self.singles, PAIRED) * (min(self.singles, PAIRED) - 1) // 2
+        self.back = np.full((len(bins), 1 + self.singles + self.pairs), 4 * capacity, np.int32)  # 4 bins: never
+        self.fill = np.zeros(len(bins), np.int64)
+        for b in range(len(bins)):
+            self.renew(b)
+
+    def items(self, b: int) -> list[int]:
+        return sorted(self.bins[b], key=lambda i: -self.sizes[i])
+
+    def twos(self, items: list[int]) -> list[tuple[int, int]]:
+        return list(combinations(items[:PAIRED], 2))
+
+    def renew(self, b: int) -> None:
+        if len(self.bins[b]) > self.singles:  # a bin has got more items than any had
+            more = len(self.bins[b]) + 8 - self.singles
+            self.back = np.insert(self.back, [1 + self.singles] * more, 4 * self.capacity, axis=1)
+            self.singles += more
+            widest = min(self.singles, PAIRED) * (min(self.singles, PAIRED) - 1) // 2
+            self.back = np.pad(self.back, ((0, 0), (0, widest - self.pairs)), constant_values=4 * self.capacity)
+            self.pairs = widest
+        items = self.items(b)
+        row = self.back[b]
+        row[:] = 4 * self.capacity  # never gives room
+        row[0] = 0
+        row[1 : 1 + len(items)] = [self.sizes[i] for i in items]
+        twos = self.twos(items)
+        row[1 + self.singles : 1 + self.singles + len(twos)] = [self.sizes[i] + self.sizes[j] for i, j in twos]
+        self.fill[b] = sum(self.sizes[i] for i in items)
+
+    def best(self, low: int, others: np.ndarray) -> tuple[int, list[int], list[int]] | None:
+        """The exchange with one of the others that raises the sum of squared fills most: the other bin,
+        what it gets and what it gives."""
+        items = self.items(low)
+        room, ahead = (self.capacity - self.fill[others]).astype(np.int32)[:, None], self.fill[others] - self.fill[low]
+        gives = {self.sizes[i]: [i] for i in items}
+        for i, j in self.twos(items):
+            gives.setdefault(self.sizes[i] + self.sizes[j], [i, j])
+        best, out = 0, None
+        back = self.back[others]
+        least = back + room  # a gift may be this long at most
+        for size, give in gives.items():
+            # two go for one or for nothing, one goes for up to two
+            width = back.shape[1] if len(give) == 1 else 1 + self.singles
+            at = np.flatnonzero((back[:, :width] < size) & (least[:, :width] >= size))
+            if not len(at):
+                continue
+            row, column = np.divmod(at, width)
+            gain = size - back[row, column].astype(np.int64)
+            worth = gain * (ahead[row] + gain)
+            i = int(worth.argmax())
+            if worth[i] > best:
+                best, out = int(worth[i]), (int(row[i]), int(column[i]), give)
+        if out is None:
+            return None
+        row, column, give = out
+        high = int(others[row])
+        theirs = self.items(high)
+        if column == 0:
+            back_items = []
+        elif column <= self.singles:
+            back_items = [theirs[column - 1]]
+        else:
+            back_items = list(self.twos(theirs)[column - 1 - self.singles])
+        return high, give, back_items
+
+    def run(self, enough: int) -> list[list[int]]:
+        left, changed = sum(map(bool, self.bins)), True
+        touched = set(range(len(self.bins)))
+        while changed and left > enough:
+            changed, before, touched = False, touched, set()
+            for low in np.argsort(self.fill, kind="stable").tolist():
+                while self.bins[low] and left > enough:
+                    others = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+                    others = others[others != low]
+                    if low not in before and low not in touched:  # only against bins that have changed
+                        others = others[np.isin(others, [*before, *touched])]
+                    found = self.best(low, others) if len(others) else None
+                    if found is None:
+                        break
+                    high, give, back = found
+                    self.bins[low] = [i for i in self.bins[low] if i not in give] + back
+                    self.bins[high] = [i for i in self.bins[high] if i not in back] + give
+                    self.renew(low)
+                    self.renew(high)
+                    touched |= {low, high}
+                    changed = True
+                left = sum(map(bool, self.bins)) if changed else left
+        return [b for b in self.bins if b]
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Empty the emptiest bins into the others as far as exchanges raise the sum of squared fills."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    while len(open_) > 1:
-        low, moved = open_[0], True
-        while moved and bins[low]:
-            moved = False
-            for high in reversed(open_[1:][-PARTNERS:]):
-                if fill[high] < fill[low] or fill[high] == capacity:
-                    continue
-                give, back, gain = _exchange(bins[low], bins[high], capacity - fill[high], sizes)
-                if gain > 0:
-                    bins[low] = [i for i in bins[low] if i not in give] + back
-                    bins[high] = [i for i in bins[high] if i not in back] + give
-                    fill[low] -= gain
-                    fill[high] += gain
-                    moved = True
-                if not bins[low]:
-                    break
-        open_ = sorted((b for b in open_[1:] if fill[b] < capacity), key=lambda b: fill[b])
-    return [b for b in bins if b]
+    """Exchange one for one, one for two, two for one, or move, between any two underfull bins while that
+    raises the sum of squared fills; ends when no exchange does, or no packing can have fewer bins."""
+    enough = lower_bound(sizes, capacity)
+    return Search(bins, sizes, capacity).run(enough) if len(bins) > enough else bins
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
