@@ -1,9 +1,13 @@
 """Language-model scoring by subword lattice likelihood.
 
-The pieces of an existing vocabulary weigh every segmentation of a word; a forward recursion in log
-space sums over all of them, so a document's score is the marginal probability of its words and its
-end. The vocabulary's scores are ranks and become a Zipf law, which one expectation step over the
-training words (all of them, by forward-backward) adapts to the corpus.
+A word's lattice has an edge for every piece of an existing vocabulary, weighed by the vocabulary's
+own scores, and a forward recursion in log space sums over all segmentations. The whole word is one
+more edge, weighed by its count in the training texts; with N training tokens of V kinds, c of them
+this word and a lattice probability L its marginal probability is (c + V L) / (N + V). So the given
+scores weigh in proportion to how often training texts bring a new word, at every size. A document's
+score is the sum over its words and its end.
+
+No unigram vocabulary is at hand: the scores of the BPE model are ranks, and become a Zipf law.
 
 Words are routed to shards by hash, in compressed blobs with the documents they occur in. Words with
 at least one in HOT training tokens, of which there are HOT at most, are resolved where the document
@@ -25,17 +29,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, id_remainder, is_remainder, sub_batches, whole_text
-from tessera.session import settle, ship
+from tessera.llm.common import documents, id_remainder, is_remainder, whole_text
+from tessera.session import discard, settle, ship, shuffle_partitions
 
-HOT, PER_SHARD, SHARDS = 20_000, 1000, 64
-#: Shift of the Zipf law of ranks; weight of the vocabulary's own scores, in pieces.
-SHIFT, PRIOR = 2.7, 1000.0
+HOT = 20_000
+#: Characters and rows of a batch, and distinct words that a task counts before it sends them.
+CHARS, ROWS, WORDS = 8_000_000, 50_000, 500_000
+#: Shift of the Zipf law of ranks.
+SHIFT = 2.7
 MARK = "▁"
 
 
 class Pieces:
-    """A sentencepiece vocabulary: pieces by text, byte pieces, and Zipf weights from its scores."""
+    """A sentencepiece vocabulary: pieces by text, byte pieces, and probabilities p from its scores."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -54,8 +60,7 @@ class Pieces:
         weight = np.zeros(n)
         use = np.concatenate((usable, rest)).astype(int)
         weight[use] = 1 / (rank[use] + SHIFT)
-        self.prior = weight / weight.sum()
-        self.longest = max(map(len, self.ids))
+        self.p = weight / weight.sum()
 
 
 @lru_cache(maxsize=1)
@@ -64,60 +69,91 @@ def pieces(path: str) -> Pieces:
 
 
 class Lattice:
-    """Marginal log probabilities of words under piece probabilities."""
+    """Marginal log probabilities of words over all segmentations, many words side by side."""
 
-    def __init__(self, vocabulary: Pieces, p: np.ndarray):
-        logs = np.log(np.maximum(p, 1e-300))
-        self.vocabulary, self.longest = vocabulary, vocabulary.longest
-        self.logp = {t: float(logs[i]) for t, i in vocabulary.ids.items()}
+    def __init__(self, vocabulary: Pieces):
+        logs = np.log(np.maximum(vocabulary.p, 1e-300))
+        self.logs, self.end = logs, float(logs[vocabulary.end])
         self.byte = [float(logs[i]) for i in vocabulary.bytes]
-        self.end = float(logs[vocabulary.end])
+        # a trie whose edges are sorted by (state, code point)
+        states, edges, self.piece = {"": 0}, {}, [-1]
+        for text, i in vocabulary.ids.items():
+            for n in range(1, len(text) + 1):
+                if text[:n] not in states:
+                    states[text[:n]] = len(states)
+                    edges[states[text[: n - 1]] << 21 | ord(text[n - 1])] = states[text[:n]]
+                    self.piece.append(-1)
+            self.piece[states[text]] = i
+        self.piece = np.array(self.piece)
+        self.keys = np.array(sorted(edges), np.int64)
+        self.next = np.array([edges[k] for k in self.keys.tolist()], np.int64)
 
     def spelled(self, char: str) -> float:
         return sum(self.byte[b] for b in char.encode("utf-8", "replace"))
 
-    def forward(self, s: str) -> list[float]:
-        """Log probability of all segmentations of every prefix."""
-        get, longest, exp, log = self.logp.get, self.longest, math.exp, math.log
-        a = [0.0] * (len(s) + 1)
-        for j in range(1, len(s) + 1):
-            ways = [a[i] + p for i in range(max(0, j - longest), j) if (p := get(s[i:j])) is not None]
-            if s[j - 1] not in self.logp:
-                ways.append(a[j - 1] + self.spelled(s[j - 1]))
-            top = max(ways)
-            a[j] = top if len(ways) == 1 else top + log(sum([exp(w - top) for w in ways]))
-        return a
-
-    def word(self, word: bytes) -> float:
-        """log10 probability of a word."""
-        return self.forward(MARK + word.decode("utf-8"))[-1] / math.log(10)
-
-    def expect(self, word: bytes, times: float, into: np.ndarray) -> None:
-        """Adds the expected uses of each piece in so many uses of the word."""
-        s = MARK + word.decode("utf-8")
-        a, n, ids, logp = self.forward(s), len(s), self.vocabulary.ids, self.logp
-        b = [0.0] * (n + 1)  # log probability of every suffix
-        total = a[n]
-        for i in range(n - 1, -1, -1):
-            ways = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = logp.get(s[i:j])
-                if p is not None:
-                    ways.append(p + b[j])
-                    into[ids[s[i:j]]] += times * math.exp(a[i] + p + b[j] - total)
-            if s[i] not in logp:
-                p = self.spelled(s[i])
-                ways.append(p + b[i + 1])
-                share = times * math.exp(a[i] + p + b[i + 1] - total)
-                for byte in s[i].encode("utf-8", "replace"):
-                    into[self.vocabulary.bytes[byte]] += share
-            top = max(ways)
-            b[i] = top + math.log(sum([math.exp(w - top) for w in ways]))
+    def _edges(self, points: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and log probability of every piece at every place; ``left`` characters are left there."""
+        at, state, found = np.arange(len(points)), np.zeros(len(points), np.int64), []
+        alone = np.ones(len(points), bool)  # characters that no piece is
+        n = 0
+        while len(at):
+            key = state << 21 | points[at + n]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            go = self.keys[edge] == key
+            at, state = at[go], self.next[edge[go]]
+            n += 1
+            piece = self.piece[state]
+            ends = piece >= 0
+            found.append((at[ends], np.full(int(ends.sum()), n), self.logs[piece[ends]]))
+            if n == 1:
+                alone[at[ends]] = False
+            more = left[at] > n
+            at, state = at[more], state[more]
+        odd = np.flatnonzero(alone)
+        cost = {c: self.spelled(chr(c)) for c in np.unique(points[odd]).tolist()}
+        found.append((odd, np.ones(len(odd), np.int64), np.array([cost[c] for c in points[odd].tolist()])))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _some(self, words: list[str]) -> np.ndarray:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        offset = np.arange(len(points)) - np.repeat(first, sizes)
+        start, length, logp = self._edges(points, np.repeat(sizes, sizes) - offset)
+        # node i + w stands before character i, of word w
+        begin = start + np.repeat(np.arange(len(words)), sizes)[start]
+        end, depth = begin + length, offset[start] + length
+        order = np.lexsort((begin, end, depth))
+        begin, end, logp, depth = begin[order], end[order], logp[order], depth[order]
+        a = np.zeros(len(points) + len(words))
+        lead = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
+        level = np.searchsorted(depth[lead], np.arange(1, int(sizes.max()) + 2))
+        lead = np.append(lead, len(end))
+        for x, y in zip(level[:-1], level[1:], strict=True):
+            heads = lead[x:y]
+            ways = a[begin[heads[0] : lead[y]]] + logp[heads[0] : lead[y]]
+            top = np.maximum.reduceat(ways, heads - heads[0])
+            a[end[heads]] = top + np.log(np.add.reduceat(np.exp(ways - np.repeat(top, np.diff(lead[x : y + 1]))), heads - heads[0]))
+        return a[first + sizes + np.arange(len(words))]
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Log probabilities of words."""
+        texts = [MARK + w.decode("utf-8") for w in words]
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        out, a = np.zeros(len(texts)), 0
+        while a < len(order):
+            b, chars = a, 0
+            while b < len(order) and (b == a or chars + len(texts[order[b]]) <= 200_000):
+                chars += len(texts[order[b]])
+                b += 1
+            out[order[a:b]] = self._some([texts[i] for i in order[a:b]])
+            a = b
+        return out
 
 
 @lru_cache(maxsize=1)
-def _lattice(path: str, p: bytes) -> Lattice:
-    return Lattice(pieces(path), np.frombuffer(p))
+def _lattice(path: str) -> Lattice:
+    return Lattice(pieces(path))
 
 
 def tokens(text: str) -> list[bytes]:
@@ -148,39 +184,49 @@ def _shard_of(words: list[bytes], shards: int) -> np.ndarray:
     return (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(shards)).astype(np.int64)
 
 
-def _count(shards: int):
-    """Word counts of the training texts of each batch, by shard."""
+def _send_counts(shards: int):
+    """Word counts of the training texts of a task, by shard."""
+
+    def blobs(counts: Counter[bytes]) -> pd.DataFrame:
+        words = list(counts)
+        n = np.fromiter(counts.values(), np.int64, len(words))
+        shard = _shard_of(words, shards)
+        order = np.argsort(shard, kind="stable")
+        out = [(s, _blob(b"\n".join([words[i] for i in order[x:y]]), n[order[x:y]])) for s, x, y in _cuts(shard[order])]
+        return pd.DataFrame(out, columns=["shard", "blob"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[bytes] = Counter()
         for rows in batches:
-            texts = rows["text"].tolist()
-            for a, b in sub_batches(texts):
-                counts: Counter[bytes] = Counter()
-                for text in texts[a:b]:
-                    counts.update(tokens(text))
-                words = sorted(counts)
-                n = np.fromiter((counts[w] for w in words), np.int64, len(words))
-                shard = _shard_of(words, shards)
-                order = np.argsort(shard, kind="stable")
-                cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
-                out = []
-                for x, y in zip(cut, [*cut[1:], len(order)][: len(cut)], strict=True):
-                    mine = order[x:y]
-                    out.append((int(shard[mine[0]]), _blob(b"\n".join([words[i] for i in mine]), n[mine])))
-                yield pd.DataFrame(out, columns=["shard", "blob"])
-
-    return count
-
-
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+            for text in rows["text"]:
+                counts.update(tokens(text))
+                if len(counts) > WORDS:
+                    yield blobs(counts)
+                    counts.clear()
+        if counts:
+            yield blobs(counts)
+
+    return send
+
+
+def _cuts(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run."""
+    at = np.flatnonzero(np.diff(sorted_values, prepend=-1))
+    for a, b in zip(at, [*at[1:], len(sorted_values)][: len(at)], strict=True):
+        yield int(sorted_values[a]), int(a), int(b)
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tokens, distinct words and counts of a shard."""
     counts: Counter[bytes] = Counter()
-    for blob in rows["blob"]:
-        raw, n = _parts(blob, bytes, np.int64)
-        for w, c in zip(_split(raw), n.tolist(), strict=True):
-            counts[w] += c
-    words = sorted(counts)
-    n = np.array([counts[w] for w in words], np.int64)
-    return pd.DataFrame({"tokens": [int(n.sum())], "words": [len(words)], "blob": [_blob(b"\n".join(words), n)]})
+    for rows in batches:
+        for blob in rows["blob"]:
+            raw, n = _parts(blob, bytes, np.int64)
+            for w, c in zip(_split(raw), n.tolist(), strict=True):
+                counts[w] += c
+    if counts:
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        yield pd.DataFrame({"tokens": [int(n.sum())], "words": [len(counts)], "blob": [_blob(b"\n".join(counts), n)]})
 
 
 def _frequent(least: float):
@@ -196,21 +242,6 @@ def _frequent(least: float):
     return frequent
 
 
-def _expect(path: str):
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = pieces(path)
-        lattice, into = Lattice(vocabulary, vocabulary.prior), np.zeros(len(vocabulary.prior))
-        for rows in batches:
-            for blob in rows["blob"]:
-                raw, n = _parts(blob, bytes, np.int64)
-                for word, times in zip(_split(raw), n.tolist(), strict=True):
-                    lattice.expect(word, times, into)
-        at = np.flatnonzero(into)
-        yield pd.DataFrame({"piece": at.astype(np.int32), "uses": into[at]})
-
-    return expect
-
-
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -218,103 +249,120 @@ class _Numbers(dict):
 
 
 class Model:
-    """What scoring needs of the training texts; ``hot`` has at most HOT words with their counts."""
+    """What scoring needs of the training texts: tokens n, kinds v, ends, and at most HOT words with their counts."""
 
-    def __init__(self, path: str, n: int, v: int, ends: int, p: np.ndarray, hot: dict[bytes, int], shards: int):
-        self.path, self.n, self.v, self.ends, self.p, self.hot, self.shards = path, n, v, ends, p.tobytes(), hot, shards
+    def __init__(self, path: str, n: int, v: int, ends: int, hot: dict[bytes, int], shards: int):
+        self.path, self.n, self.v, self.ends, self.hot, self.shards = path, n, v, ends, hot, shards
 
+    def score(self, count: np.ndarray, log_lattice: np.ndarray) -> np.ndarray:
+        """log10 (count + v L) / (n + v) for lattice probabilities L; v counts as 1 without training."""
+        v = max(self.v, 1)
+        with np.errstate(divide="ignore"):
+            return (np.logaddexp(np.log(count), math.log(v) + log_lattice) - math.log(self.n + v)) / math.log(10)
 
-def _scatter(model: Model):
+
+def _send_words(model: Model):
     """Rows of (batch, shard, kind, blob): words with their documents for each shard (kind 0), and
     what is known of a batch's documents without them (kind 1)."""
 
-    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = _lattice(model.path, model.p)
-        hot = {w: (math.log10(c + 1), lattice.word(w)) for w, c in model.hot.items()}
-        ordinal = TaskContext.get().partitionId() << 32
+    def rows_of(batch: int, ids: list, held: np.ndarray, texts: list[str], hot: dict) -> pd.DataFrame:
+        n_docs, numbers = len(texts), _Numbers()
+        lists = [np.fromiter(map(numbers.__getitem__, tokens(t)), np.int64) for t in texts]
+        length = np.fromiter(map(len, lists), np.int64, n_docs)
+        pairs, times = np.unique(np.concatenate(lists) * n_docs + np.repeat(np.arange(n_docs), length), return_counts=True)
+        number, doc = pairs // n_docs, pairs % n_docs
+        words = list(numbers)
+        trained = np.bincount(number, weights=times * ~held[doc], minlength=len(words)).astype(np.int64)
+        is_hot = np.fromiter(map(hot.__contains__, words), bool, len(words))
+        values = np.array([hot[w] for w, h in zip(words, is_hot, strict=True) if h]).reshape(-1, 2)
+        place = np.cumsum(is_hot) - 1
+        near = is_hot[number]
+        base, score = (np.bincount(doc[near], weights=times[near] * values[place[number[near]], i], minlength=n_docs) for i in (0, 1))
+        known = np.bincount(doc[near], weights=times[near], minlength=n_docs)
+        null = np.array([i is None for i in ids])
+        head = _blob(np.array([0 if i is None else i for i in ids], np.int64), null, held, length + 1, known, base, score)
+        out = [(batch, batch % model.shards, 1, head)]
+        rare = np.flatnonzero(~is_hot)
+        shard = _shard_of([words[i] for i in rare], model.shards)
+        order = rare[np.argsort(shard, kind="stable")]
+        start = np.searchsorted(number, np.arange(len(words) + 1))
+        for s, x, y in _cuts(np.sort(shard)):
+            mine = order[x:y]
+            sizes = start[mine + 1] - start[mine]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) - np.repeat(ends - sizes - start[mine], sizes)
+            out.append((batch, s, 0, _blob(b"\n".join([words[i] for i in mine]), trained[mine], sizes, doc[at].astype(np.uint16), times[at].astype(np.int32))))
+        return pd.DataFrame(out, columns=["batch", "shard", "kind", "blob"])
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = list(model.hot)
+        counts = np.array([model.hot[w] for w in frequent], float)
+        scores = model.score(counts, _lattice(model.path).words(frequent)) if frequent else counts
+        hot = dict(zip(frequent, zip(np.log10(counts + 1).tolist(), scores.tolist(), strict=True), strict=True))
+        batch = TaskContext.get().partitionId() << 32
+        ids, held, texts, chars = [], [], [], 0
         for rows in batches:
-            texts = rows["text"].tolist()
-            for a, b in sub_batches(texts):
-                part, n_docs = rows.iloc[a:b], b - a
-                numbers = _Numbers()
-                lists = [np.fromiter(map(numbers.__getitem__, tokens(t)), np.int64) for t in texts[a:b]]
-                length = np.fromiter(map(len, lists), np.int64, n_docs)
-                pairs, times = np.unique(np.concatenate(lists) * n_docs + np.repeat(np.arange(n_docs), length), return_counts=True)
-                number, doc = pairs // n_docs, pairs % n_docs
-                words = list(numbers)
-                held = part["held_out"].to_numpy(bool)
-                trained = np.bincount(number, weights=times * ~held[doc], minlength=len(words)).astype(np.int64)
-                is_hot = np.fromiter(map(hot.__contains__, words), bool, len(words))
-                values = np.array([hot[w] for w, h in zip(words, is_hot, strict=True) if h]).reshape(-1, 2)
-                place = np.cumsum(is_hot) - 1
-                near = is_hot[number]
-                base, score = (np.bincount(doc[near], weights=times[near] * values[place[number[near]], i], minlength=n_docs) for i in (0, 1))
-                known = np.bincount(doc[near], weights=times[near], minlength=n_docs)
-                ids = part["doc_id"]
-                head = _blob(ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(bool), held, length + 1, known, base, score)
-                out = [(ordinal, ordinal % model.shards, 1, head)]
-                rare = np.flatnonzero(~is_hot)
-                shard = _shard_of([words[i] for i in rare], model.shards)
-                order = rare[np.argsort(shard, kind="stable")]
-                shard = np.sort(shard)
-                start = np.searchsorted(number, np.arange(len(words) + 1))
-                cut = np.flatnonzero(np.diff(shard, prepend=-1))
-                for x, y in zip(cut, [*cut[1:], len(order)][: len(cut)], strict=True):
-                    mine = order[x:y]
-                    sizes = start[mine + 1] - start[mine]
-                    ends = np.cumsum(sizes)
-                    at = np.arange(ends[-1]) - np.repeat(ends - sizes - start[mine], sizes)
-                    blob = _blob(b"\n".join([words[i] for i in mine]), trained[mine], sizes, doc[at].astype(np.uint16), times[at].astype(np.int32))
-                    out.append((ordinal, int(shard[x]), 0, blob))
-                yield pd.DataFrame(out, columns=["batch", "shard", "kind", "blob"])
-                ordinal += 1
-
-    return scatter
-
-
-SCATTERED = "batch long, shard long, kind int, blob binary"
+            for i, h, t in zip(rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None), rows["held_out"], rows["text"], strict=True):
+                ids.append(i)
+                held.append(h)
+                texts.append(t)
+                chars += len(t)
+                if chars >= CHARS or len(texts) >= ROWS:
+                    yield rows_of(batch, ids, np.array(held, bool), texts, hot)
+                    ids, held, texts, chars, batch = [], [], [], 0, batch + 1
+        if texts:
+            yield rows_of(batch, ids, np.array(held, bool), texts, hot)
+
+    return send
+
+
+SENT = "batch long, shard long, kind int, blob binary"
 
 
 def _score_shard(model: Model):
-    """Sums over each shard's words for each batch's documents."""
+    """Sums over a shard's words for each batch's documents; other rows pass."""
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        lattice = _lattice(model.path, model.p)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers, opened = _Numbers(), []
-        ready = rows[rows["kind"] == 1]
-        for row in rows[rows["kind"] == 0].itertuples():
-            raw, trained, sizes, doc, times = _parts(row.blob, bytes, np.int64, np.int64, np.uint16, np.int32)
-            words = _split(raw)
-            opened.append((row.batch, row.shard, np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), trained, sizes, doc, times))
+        for rows in batches:
+            yield rows[rows["kind"] == 1]
+            for row in rows[rows["kind"] == 0].itertuples():
+                raw, trained, *rest = _parts(row.blob, bytes, np.int64, np.int64, np.uint16, np.int32)
+                words = _split(raw)
+                opened.append((row.batch, row.shard, np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), trained, row.blob))
+        if not opened:
+            return
         count = np.zeros(len(numbers), np.int64)
-        for _, _, at, trained, *_ in opened:
-            count[at] += trained
-        values = np.log10(count + 1.0), np.fromiter(map(lattice.word, numbers), float, len(numbers)), (count > 0).astype(float)
-        out = []
-        for batch, shard, at, _, sizes, doc, times in opened:
+        for _, _, at, trained, _ in opened:
+            np.add.at(count, at, trained)
+        words = list(numbers)
+        values = np.log10(count + 1.0), model.score(count.astype(float), _lattice(model.path).words(words)), (count > 0).astype(float)
+        for batch, shard, at, _, blob in opened:
+            _, _, sizes, doc, times = _parts(blob, bytes, np.int64, np.int64, np.uint16, np.int32)
             of = np.repeat(at, sizes)
             base, score, known = (np.bincount(doc, weights=times * v[of]) for v in values)
             some = np.unique(doc)
-            out.append((batch, shard, 0, _blob(some, known[some], base[some], score[some])))
-        return pd.concat([ready[["batch", "shard", "kind", "blob"]], pd.DataFrame(out, columns=["batch", "shard", "kind", "blob"])])
+            out = _blob(some, known[some].astype(np.int32), base[some], score[some])
+            yield pd.DataFrame([(batch, shard, 0, out)], columns=["batch", "shard", "kind", "blob"])
 
     return score
 
 
 def _gather(model: Model):
+    end = _lattice(model.path).end
+
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        lattice = _lattice(model.path, model.p)
         rows = rows.sort_values(["kind", "shard"], ascending=[False, True])
         ids, null, held, length, known, base, score = map(np.copy, _parts(rows["blob"].iloc[0], np.int64, bool, bool, np.int64, float, float, float))
         for blob in rows["blob"].iloc[1:]:
-            at, k, b, s = _parts(blob, np.uint16, float, float, float)
+            at, k, b, s = _parts(blob, np.uint16, np.int32, float, float)
             known[at] += k
             base[at] += b
             score[at] += s
         base += math.log10(model.ends + 1)
         known += model.ends > 0
         base -= length * math.log10(model.n + model.v + 1)
-        score += lattice.end / math.log(10)
+        score += float(model.score(np.array([float(model.ends)]), np.array([end]))[0])
         out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": length, "n_known": known.astype(np.int64), "train_tokens": model.n, "base_score": base, "score": score})
         out.loc[null, "doc_id"] = pd.NA
         return out
@@ -328,29 +376,25 @@ def score_documents(df: DataFrame, path: str, held_out) -> DataFrame:
     ``held_out`` is a column of the rows that teach nothing. Null texts count as empty: one token,
     the end. Rows without an id are held out if the column is null for them, and are scored like
     others; repeated rows are rows of their own. Without training texts all counts are zero and the
-    pieces keep the vocabulary's weights. Empty tables give no rows; other columns are ignored.
+    lattice alone decides. Empty tables give no rows; other columns are ignored.
     """
     spark = df.sparkSession
     ship(spark)
-    rows = df.select("doc_id", whole_text().alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    n_docs, n_train = rows.agg(F.count(F.lit(1)), F.count_if(~F.col("held_out"))).first()
-    shards = max(SHARDS, n_docs // PER_SHARD)
-    counted = rows.where("not held_out").select("text").mapInPandas(_count(shards), "shard long, blob binary")
-    counts = settle(counted.groupBy("shard").applyInPandas(_merge, "tokens long, words long, blob binary"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
+    shards = shuffle_partitions(spark)  # a shard is a partition, so shards grow with the input as partitions do
+    n_train = rows.where("not held_out").count()
+
+    def by_shard(table: DataFrame) -> DataFrame:
+        return table.repartitionById(shards, F.col("shard").cast("int"))
+
+    sent = rows.where("not held_out").select("text").mapInPandas(_send_counts(shards), "shard long, blob binary")
+    counts = settle(by_shard(sent).mapInPandas(_merge, "tokens long, words long, blob binary"))
     n, v = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     n, v = n + n_train, v + (n_train > 0)
     hot = counts.mapInPandas(_frequent(max(1.0, n / HOT)), "word binary, n long").collect()  # HOT rows at most
-    vocabulary = pieces(path)
-    used = counts.select("blob").mapInPandas(_expect(path), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    uses = np.zeros(len(vocabulary.prior))
-    for piece, x in used.collect():  # a row for each piece of the vocabulary
-        uses[piece] = x
-    uses[vocabulary.end] += n_train
-    # equal sums in another order must not change the score
-    p = np.round(uses, 3) + PRIOR * vocabulary.prior
-    model = Model(path, n, v, n_train, p / p.sum(), {bytes(r["word"]): r["n"] for r in hot}, shards)
-    sent = rows.mapInPandas(_scatter(model), SCATTERED)
-    scored = sent.groupBy("shard").applyInPandas(_score_shard(model), SCATTERED)
+    discard(counts)
+    model = Model(path, n, v, n_train, {bytes(r["word"]): r["n"] for r in hot}, shards)
+    scored = by_shard(rows.mapInPandas(_send_words(model), SENT)).mapInPandas(_score_shard(model), SENT)
     return scored.groupBy("batch").applyInPandas(
         _gather(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
