@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, whole_text
+from tessera.llm.common import claim, documents, whole_text
 from tessera.session import settle, ship, shuffle_partitions
 
 WINDOW, ANCHOR = 13, 5
 #: Characters of a batch; documents above which a minimiser's windows travel one by one.
-CHARS, HOT = 8_000_000, 4096
+CHARS, HOT = 4_000_000, 4096
+#: Parts of a shard, by minimiser, and words of the parts that share one automaton.
+PARTS, AUTOMATON = 256, 300_000
 NEVER = np.iinfo(np.int64).max
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,6 +175,7 @@ def _send_anchors(shards: int):
         return _rows(out)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("substring_anchors")
         number = TaskContext.get().partitionId() << 32
         ids, texts, chars = [], [], 0
         for rows in batches:
@@ -214,6 +217,7 @@ def _send_passages(shards: int):
     (kind OWN) of where each is."""
 
     def send(batch: int, blob: bytes, replies: pd.DataFrame) -> pd.DataFrame:
+        claim("substring_passages")
         ids, null, texts = open_texts(blob)
         mine = Batch(taught(null, texts), ids)
         if not len(mine.start):
@@ -240,7 +244,8 @@ def _send_passages(shards: int):
         for s, a, b in _cuts(shard[order]):
             these = order[a:b]
             said = b"\n".join([b" ".join([mine.vocabulary[w] for w in raw[start[i] : ends[i]].tolist()]) for i in first[these].tolist()])
-            out.append((batch, s, PASSAGES, pack(said, these.astype(np.int32), low[these], high[these])))
+            part = key[first[these]] // np.uint64(shards) % np.uint64(PARTS)
+            out.append((batch, s, PASSAGES, pack(said, these.astype(np.int32), part.astype(np.uint8), low[these], high[these])))
         return _rows(out)
 
     def group(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -326,33 +331,55 @@ def _stretches(starts: np.ndarray, end: int, most: int = 1 << 20) -> Iterator[tu
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each batch's passages the documents that make their windows go; its notes pass."""
-    sent, known, numbers, low, high = [], Numbers(), Numbers(), [], []
+    claim("substring_search")
+    sent, known, of, low, high = [], Numbers(), [], [], []
     for rows in batches:
         yield _rows([r for r in zip(rows["batch"], rows["shard"], rows["kind"], rows["blob"], strict=True) if r[2] == OWN])
         for batch, shard, kind, blob in zip(rows["batch"], rows["shard"], rows["kind"], rows["blob"], strict=True):
             if kind != PASSAGES:
                 continue
-            raw, ref, least, most = unpack(blob, bytes, np.int32, np.int64, np.int64)
+            raw, ref, part, least, most = unpack(blob, bytes, np.int32, np.uint8, np.int64, np.int64)
             which = np.fromiter(map(known.__getitem__, raw.split(b"\n")), np.int64, len(ref))
             sent.append((batch, shard, ref, which))
-            low.append((which, least))
-            high.append((which, most))
+            of.append(part)
+            low.append(least)
+            high.append(most)
     if not sent:
         return
-    least, most = np.full(len(known), NEVER), np.full(len(known), np.iinfo(np.int64).min)
-    for which, x in low:
-        np.minimum.at(least, which, x)
-    for which, x in high:
-        np.maximum.at(most, which, x)
-    found = locate([[numbers[w] for w in p.split(b" ")] for p in known], least, most)
-    some = np.array([(f < NEVER).any() for f in found])
+    which = np.concatenate([w for *_, w in sent])
+    part, least, most = np.zeros(len(known), np.uint8), np.full(len(known), NEVER), np.full(len(known), np.iinfo(np.int64).min)
+    part[which] = np.concatenate(of)  # equal passages have equal minimisers
+    np.minimum.at(least, which, np.concatenate(low))
+    np.maximum.at(most, which, np.concatenate(high))
+    passages, found = list(known), {}
+    known.clear()
+    for group in _groups(part, np.fromiter((p.count(b" ") + 1 for p in passages), np.int64, len(passages))):
+        numbers = Numbers()
+        for i, windows in zip(group.tolist(), locate([[numbers[w] for w in passages[i].split(b" ")] for i in group.tolist()], least[group], most[group]), strict=True):
+            if (windows < NEVER).any():
+                found[i] = windows.copy()
     for batch, shard, ref, which in sent:
-        go = some[which]
+        go = np.fromiter(map(found.__contains__, which.tolist()), bool, len(which))
         if go.any():
             parts = [found[i] for i in which[go].tolist()]
             yield _rows([(batch, shard, PASSAGES, pack(ref[go], np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)))])
 
 
+def _groups(part: np.ndarray, words: np.ndarray) -> Iterator[np.ndarray]:
+    """Passages of whole parts, in groups of about AUTOMATON words."""
+    order = np.argsort(part, kind="stable")
+    held, size = [], 0
+    for _, a, b in _cuts(part[order].astype(np.int64)):
+        more = int(words[order[a:b]].sum())
+        if held and size + more > AUTOMATON:
+            yield np.concatenate(held)
+            held, size = [], 0
+        held.append(order[a:b])
+        size += more
+    if held:
+        yield np.concatenate(held)
+
+
 def _strip(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     """doc_id, n_words, n_removed and kept_text of a batch's documents."""
     if not len(texts):
