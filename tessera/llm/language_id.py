@@ -2,8 +2,9 @@
 
 For every language a suffix automaton of labelled text is laid out as one dense transition table.
 A text is parsed greedily into longest matches against each automaton; the language that needs the
-fewest bits per character wins, where a phrase names a place in the language's own sample or a letter. Texts are parsed whole, in segments of SEGMENT characters that
-advance through the tables side by side.
+fewest bits per character wins, where a phrase names a place in the language's own sample or a letter.
+Texts are parsed whole: segments of SEGMENT characters advance through the tables side by side, and
+then each is parsed on from where its predecessor really ended until both parses agree.
 """
 
 from __future__ import annotations
@@ -124,21 +125,48 @@ class Parser:
         grid = np.zeros((SEGMENT, int(parts.sum())), np.uint16)
         grid[place % SEGMENT, lane] = classes
         of = np.repeat(np.arange(len(texts)), parts)
-        phrases = np.zeros((len(self.langs), len(texts)))
+        root = np.array(self.roots, self.table.dtype)[:, None]
+        last = np.repeat(root, grid.shape[1], 1)  # states in which the segments end
+        ends = np.zeros(last.shape, np.int64)
         for a in range(0, grid.shape[1], LANES):
             cols = np.ascontiguousarray(grid[:, a : a + LANES]).astype(self.table.dtype)
-            state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], cols.shape[1], 1)
-            root, ends = state.copy(), np.zeros_like(state)
+            state, some = last[:, a : a + LANES].copy(), np.zeros((len(root), cols.shape[1]), self.table.dtype)
             for row in cols:
                 state += row
                 step = self.table.take(state)
-                ends += step & 3
+                some += step & 3
                 state = step >> 2
-            ends += state != root
-            for i in range(len(self.langs)):
-                phrases[i] += np.bincount(of[a : a + LANES], weights=ends[i], minlength=len(texts))
+            ends[:, a : a + LANES], last[:, a : a + LANES] = some, state
+        self._join(grid, of, root, last, ends)
+        ends[:, np.append(of[1:] != of[:-1], True)[: len(of)]] += (last != root)[:, np.append(of[1:] != of[:-1], True)[: len(of)]]
+        phrases = np.stack([np.bincount(of, weights=e, minlength=len(texts)) for e in ends])
         return phrases, chars, letters
 
+    def _join(self, grid: np.ndarray, of: np.ndarray, root: np.ndarray, last: np.ndarray, ends: np.ndarray) -> None:
+        """Corrects ``last`` and ``ends`` of segments parsed from the root: a segment starts in the state in
+        which its predecessor ends, and from where both parses are in one state they are the same."""
+        used = np.repeat(root, grid.shape[1], 1)
+        follows = np.zeros(grid.shape[1], bool)
+        follows[1:] = of[1:] == of[:-1]
+        lang, lane = np.nonzero(follows & (np.roll(last, 1, axis=1) != root))
+        while len(lang):
+            true, old = last[lang, lane - 1], used[lang, lane]
+            used[lang, lane] = true
+            for row in grid:
+                chars = row[lane].astype(self.table.dtype)
+                a, b = self.table.take(true + chars), self.table.take(old + chars)
+                np.add.at(ends, (lang, lane), ((a & 3) - (b & 3)).astype(np.int64))
+                apart = a >> 2 != b >> 2
+                lang, lane, true, old = lang[apart], lane[apart], a[apart] >> 2, b[apart] >> 2
+                if not len(lang):
+                    break
+            last[lang, lane] = true  # still apart: the next segment starts elsewhere
+            next_ = lane + 1
+            go = next_ < grid.shape[1]
+            lang, lane = lang[go], next_[go]
+            go = follows[lane]
+            lang, lane = lang[go], lane[go]
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not self.langs:
@@ -177,7 +205,7 @@ def fit(rows: DataFrame) -> dict[str, str]:
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), F.col("text"))
     share = known.groupBy("lang").agg((F.lit(float(DOCS << 30)) / F.count(F.lit(1))).alias("most"))
-    drawn = known.join(F.broadcast(share), "lang").where(F.col("draw") < F.col("most"))
+    drawn = known.join(share, "lang").where(F.col("draw") < F.col("most"))
     letters = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
     drawn = drawn.select("lang", "draw", letters.alias("text")).select("lang", "draw", _stretch(F.lit(CHARS)).alias("text"))
     # rows from short to long: the level to which all can be cut so that CHARS remain
@@ -217,10 +245,14 @@ def identify(df: DataFrame, model: dict[str, str]) -> DataFrame:
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
-    """The rows whose text has a language, with the columns as they were."""
+    """The rows whose text has a language, with the columns as they were; a null lang becomes the
+    language found. Without any labelled text nothing can be told, and all rows stay as they are."""
     learn = df.where(F.coalesce(id_remainder("doc_id", 5) != 0, F.lit(False)))
-    found = identify(df, fit(learn.select("doc_id", "lang", "text")))
-    return found.where(F.col("__lang.lang_pred") != UNDETERMINED).drop("__lang")
+    model = fit(learn.select("doc_id", "lang", "text"))
+    if not model:
+        return df
+    found = identify(df, model).where(F.col("__lang.lang_pred") != UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "__lang.lang_pred")).drop("__lang")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

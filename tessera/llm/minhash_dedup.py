@@ -26,6 +26,8 @@ from tessera.session import discard, settle, ship, shuffle_partitions
 TREES, DEPTH = 16, 8
 #: Least common prefix; rows of a region above which a longer one is needed; neighbours on a side.
 SHALLOW, CROWD, NEAR = 2, 48, 3
+#: Sorted rows that are looked at together.
+BLOCK = 16_384
 #: Signature agreement that a candidate needs, far below any link's: at 0.8 it is 5 deviations off.
 AGREE = 0.62
 #: Candidates of a document that are confirmed first.
@@ -116,8 +118,8 @@ def _sign(k: int):
     return sign
 
 
-def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidates among rows sorted by tree, key and id."""
+def _pairs(rows: pd.DataFrame, start: int = 0, stop: int | None = None) -> pd.DataFrame:
+    """Candidates among rows sorted by tree, key and id, whose first row is from start to stop."""
     n = len(rows)
     keys = np.frombuffer(b"".join(rows["key"]), ">u4").reshape(n, DEPTH)
     tree, ids, size = rows["tree"].to_numpy(), rows["id"].to_numpy(), rows["n"].to_numpy()
@@ -128,14 +130,15 @@ def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
         region = np.concatenate(([0], np.cumsum(lcp < d)))
         need[np.bincount(region)[region] <= CROWD] = d
     left, right = [], []
-    common = lcp
+    common, here = lcp, np.zeros(n, bool)
+    here[start:stop] = True
     for off in range(1, NEAR + 1):
         if n <= off:
             break
         if off > 1:
             common = np.minimum(common[:-1], lcp[off - 1 :])
         small, large = np.minimum(size[:-off], size[off:]), np.maximum(size[:-off], size[off:])
-        hit = (common >= np.minimum(need[:-off], need[off:])) & (5 * small >= 4 * large)
+        hit = (common >= np.minimum(need[:-off], need[off:])) & (5 * small >= 4 * large) & here[:-off]
         left.append(ids[:-off][hit])
         right.append(ids[off:][hit])
     a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -147,22 +150,37 @@ ORDERED = "kind int, a long, b long, tree int, key binary, id long, n long"
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs (kind 0) of a sorted partition, and its outermost rows (kind 1)."""
+    """Candidate pairs (kind 0) of a sorted partition, and its outermost rows (kind 1).
+
+    Rows go in blocks of BLOCK with CROWD rows before and CROWD + NEAR behind, which settle whether a
+    region is crowded: the pairs are those of the whole partition, however its rows come in.
+    """
     claim("neighbours")
-    held, first = None, None
+    columns = ["kind", "a", "b", "tree", "key", "id", "n"]
+
+    def found(rows: pd.DataFrame, start: int, stop: int) -> pd.DataFrame:
+        out = _pairs(rows, start, stop)
+        return pd.DataFrame({"kind": 0, "a": out["a"], "b": out["b"], "tree": 0, "key": None, "id": -1, "n": 0})
+
+    held, done, waiting, size, edge = None, 0, [], 0, None
     for rows in batches:
-        if first is None and len(rows):
-            first = rows.head(NEAR)
-            yield first.assign(kind=1, a=-1, b=-1)[["kind", "a", "b", "tree", "key", "id", "n"]]
-        held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-        if len(held) > CROWD:
-            out = _pairs(held)
-            yield pd.DataFrame({"kind": 0, "a": out["a"], "b": out["b"], "tree": 0, "key": None, "id": -1, "n": 0})
-            held = held.tail(2 * CROWD).reset_index(drop=True)
-    if held is not None and len(held):
-        out = _pairs(held)
-        yield pd.DataFrame({"kind": 0, "a": out["a"], "b": out["b"], "tree": 0, "key": None, "id": -1, "n": 0})
-        yield held.tail(NEAR).assign(kind=1, a=-1, b=-1)[["kind", "a", "b", "tree", "key", "id", "n"]]
+        if not len(rows):
+            continue
+        if edge is None or len(edge) < NEAR:
+            edge = (rows if edge is None else pd.concat([edge, rows], ignore_index=True)).head(NEAR)
+        waiting.append(rows)
+        size += len(rows)
+        if size >= BLOCK + CROWD + NEAR:
+            held = pd.concat([*([] if held is None else [held]), *waiting], ignore_index=True)
+            waiting, size = [], 0
+            while len(held) - done >= BLOCK + CROWD + NEAR:
+                yield found(held.iloc[: done + BLOCK + CROWD + NEAR], done, done + BLOCK)
+                drop = max(0, done + BLOCK - CROWD)
+                held, done = held.iloc[drop:].reset_index(drop=True), done + BLOCK - drop
+    if held is not None or waiting:
+        held = pd.concat([*([] if held is None else [held]), *waiting], ignore_index=True)
+        yield found(held, done, len(held))
+        yield pd.concat([edge, held.tail(NEAR)]).assign(kind=1, a=-1, b=-1)[columns]
 
 
 def _stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,7 +337,11 @@ def near_duplicates(df: DataFrame, k: int = 4) -> DataFrame:
 
 
 def keep_one(df: DataFrame, k: int = 5) -> DataFrame:
-    """The rows whose document stays, with the columns as they were."""
+    """The rows whose document stays, with the columns as they were.
+
+    Five words to a shingle are the rule for stages of a pipeline; four are what the contract of the
+    query asks for. One changed word spoils k shingles, so five link a little less than four.
+    """
     gone = near_duplicates(df, k).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return df.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 

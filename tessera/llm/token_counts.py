@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 import regex
@@ -60,6 +60,7 @@ class WordCounter(dict):
         self.final = [ids[c + self.suffix] for c in letters]
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
+        self.path = path
         self.pieces: dict[str, int] = {}
 
     def merged(self, piece: str) -> int:
@@ -92,9 +93,22 @@ class WordCounter(dict):
                 heapq.heappush(heap, (found[0], h, ids[h], new, found[1]))
         return left
 
+    @cached_property
+    def library(self):
+        """Normalises and cuts words with code points that Python's Unicode tables don't have: other tables may."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def cut_word(self, word: str) -> list[str]:
+        if word.isascii() or all(unicodedata.category(c) != "Cn" for c in word):
+            return PIECES.findall(lowered(word))
+        plain = self.library.normalizer.normalize_str(word)
+        return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+
     def __missing__(self, word: str) -> int:
         total, pieces = 0, self.pieces
-        for piece in PIECES.findall(lowered(word)):
+        for piece in self.cut_word(word):
             n = pieces.get(piece)
             if n is None:
                 n = pieces[piece] = self.merged(piece)
@@ -110,7 +124,7 @@ class WordCounter(dict):
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         if ODD_SPACE.search(text):  # white space to str.split, but not to the vocabulary
-            return sum(map(self.merged, PIECES.findall(lowered(text))))
+            return sum(map(self.merged, self.cut_word(text)))
         return sum(map(self.__getitem__, text.split()))
 
 
