@@ -2,7 +2,7 @@
 
 Documents travel in compressed batches. A window of WINDOW words is known by its minimiser, the
 least hash among the ANCHOR-word phrases inside, so equal windows share it and neighbouring windows
-with one minimiser form a segment. First only minimisers are exchanged, one for each batch that has
+with one minimiser in one place form a segment, of WINDOW - ANCHOR + 1 windows at most. First only minimisers are exchanged, one for each batch that has
 it; a batch then sends the segments whose minimiser occurs in several documents, each distinct text
 once with the least and greatest document that holds it. A shard confirms word by word which passages
 recur, compiles them into one Aho-Corasick automaton over its own word alphabet, and streams every
@@ -58,11 +58,12 @@ def phrase_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def _window_min(h: np.ndarray, k: int) -> np.ndarray:
-    """The least of the k values from each place on."""
-    have, out = 1, h
+    """Where the least of the k values from each place on is, the first one if there are several."""
+    have, out = 1, np.arange(len(h))
     while have < k:
         step = min(have, k - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        left, right = out[: len(out) - step], out[step:]
+        out = np.where(h[right] < h[left], right, left)
         have += step
     return out
 
@@ -111,11 +112,12 @@ class Batch:
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(self.vocabulary))[self.words]
         spans = max(0, len(self.words) - WINDOW + 1)
         at = np.flatnonzero(owner[:spans] == owner[WINDOW - 1 :][:spans])
-        least = _window_min(phrase_hashes(self.hashes, ANCHOR), WINDOW - ANCHOR + 1)[at] if len(at) else np.zeros(0, np.uint64)
+        phrases = phrase_hashes(self.hashes, ANCHOR)
+        least = _window_min(phrases, WINDOW - ANCHOR + 1)[at] if len(at) else at
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
         cut = np.flatnonzero(new)
-        self.start, self.count, self.key = at[cut], np.diff(np.append(cut, len(at))), least[cut]
+        self.start, self.count, self.key = at[cut], np.diff(np.append(cut, len(at))), phrases[least[cut]]
 
     def anchors(self, shards: int):
         """Distinct minimisers by shard and hash: shard, hash, number of each segment's, least document, documents."""
