@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,19 +44,55 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the setting is absent, as in tests."""
+    """This application's folder in the cluster's shared folder; a local one only on a local master, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    return (root or "file:///tmp/checkpoints").rstrip("/") + "/tessera"
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Tables written in each open scratch scope; applications whose folder goes when the driver ends.
+_SCOPES: list[list[str]] = []
+_ENDS: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at_end(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped yet
+        _delete(spark, root)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``settle`` writes inside go when the block ends, so write the result inside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def settle(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
-    This cuts the lineage: lost executors cost only what has not been written yet.
+    This cuts the lineage: lost executors cost only what has not been written yet. The table goes with
+    the innermost ``scratch`` block (with the one around it for ``outlive``), or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    root = scratch_root(spark)
+    if root not in _ENDS:
+        _ENDS.add(root)
+        atexit.register(_at_end, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _SCOPES[:-1] if outlive else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -63,6 +102,4 @@ def discard(df: DataFrame) -> None:
     """Delete a table that ``settle`` wrote, once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)

@@ -187,3 +187,28 @@ def test_config():
         config.from_mapping({"nope": 1})
     assert config.deep_merge({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}}
     assert config.changed_sections({"a": 1}, {"a": 2, "b": 1}) == ["a", "b"]
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    from pathlib import Path
+
+    from tessera.session import discard, scratch, settle
+
+    with scratch(spark):
+        inner = settle(spark.range(3))
+        kept = settle(spark.range(4), outlive=True)
+        path = Path(inner._tessera_path.removeprefix("file://"))
+        assert inner.count() == 3 and path.exists()
+    assert not path.exists() and kept.count() == 4
+    discard(kept)
+    assert not Path(kept._tessera_path.removeprefix("file://")).exists()
+
+
+def test_entry_without_an_optional_library():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 50 and out[1] == "False" and int(out[2]) >= 47
