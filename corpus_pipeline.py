@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
-from tessera.session import settle
+from tessera.session import discard, scratch, settle
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts and texts without a letter. A null lang is filled in."""
     return language_id.keep_identified(docs)
 
 
@@ -57,5 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Empty tables give no rows; each stage defines its odd cases."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            done = settle(stage(spark, docs, sf_dir), outlive=True)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
