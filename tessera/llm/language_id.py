@@ -155,7 +155,7 @@ class Parser:
             for row in grid:
                 chars = row[lane].astype(self.table.dtype)
                 a, b = self.table.take(true + chars), self.table.take(old + chars)
-                np.add.at(ends, (lang, lane), ((a & 3) - (b & 3)).astype(np.int64))
+                ends[lang, lane] += (a & 3).astype(np.int64) - (b & 3)  # each pair occurs once
                 apart = a >> 2 != b >> 2
                 lang, lane, true, old = lang[apart], lane[apart], a[apart] >> 2, b[apart] >> 2
                 if not len(lang):
