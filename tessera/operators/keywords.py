@@ -2,26 +2,76 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import REJECTED_TERMS
-from tessera.functions.scalars import col
-from tessera.functions.text import words
+from tessera.functions.scalars import col, let
+from tessera.functions.text import ngrams, words
+from tessera.functions.vector import dot, letter_vector, norm
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
     """id, term and score, the share of the document's words, for each distinct term of a document."""
     w = words(F.coalesce(F.col(text), F.lit("")))
     kept = F.filter(w, lambda x: (F.length(x) > 1) & ~x.isin(*stop_words)) if stop_words else F.filter(w, lambda x: F.length(x) > 1)
-    rows = docs.select(id_col, kept.alias("w")).select(id_col, F.size("w").alias("n"), F.explode("w").alias("term"))
-    return rows.groupBy(id_col, "term").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
-
-
-def aggregate(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """term, max_score and doc_freq over documents; terms in lower case."""
-    one = found.groupBy(F.lower("term").alias("term"), id_col).agg(F.max("score").alias("score"))
-    return one.groupBy("term").agg(F.max("score").alias("max_score"), F.count(F.lit(1)).alias("doc_freq"))
+    # a document is one row, so its terms are counted inside the row: sorted words, one place for each run
+    rows = docs.select(id_col, F.array_sort(kept).alias("w")).where(F.size("w") > 0)
+    first = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.element_at("w", F.greatest(i - 1, F.lit(1))) != F.element_at("w", i)))
+    rows = rows.select(id_col, "w", F.concat(first, F.array(F.size("w") + 1)).alias("at"))
+    each = rows.select(id_col, "w", "at", F.posexplode(F.slice("at", 1, F.size("at") - 1)).alias("p", "i"))
+    times = F.element_at("at", F.col("p") + 2) - F.col("i")
+    return each.select(id_col, F.element_at("w", F.col("i")).alias("term"), (times / F.size("w")).alias("score"))
+
+
+def aggregate(found: DataFrame) -> DataFrame:
+    """term, max_score and doc_freq over documents, of the distinct lower-case terms of each."""
+    return found.groupBy("term").agg(F.max("score").alias("max_score"), F.count(F.lit(1)).alias("doc_freq"))
+
+
+def phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None, most: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """id, columns ``carry`` and term: the distinct runs of one to ``most`` words of a document. Stop words
+    go before runs are formed. A document is one row throughout, so nothing is shuffled."""
+    w = F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda x: (F.length(x) > 1) & (~x.isin(*stop_words) if stop_words else F.lit(True)))
+    return docs.select(id_col, *(carry or []), F.explode(F.array_distinct(ngrams(w, 1, most))).alias("term"))
+
+
+def key_phrases(docs: DataFrame, embed=letter_vector, n: int = 5, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """id, rank, term and score: the n phrases of each document that are most like it, by the cosine of
+    their vectors under ``embed``, a function of a text column; ties by term."""
+    whole = docs.withColumn("__v", embed(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    found = phrases(whole.withColumn("__n", norm("__v")), id_col, text, stop_words, carry=["__v", "__n"])
+    like = let(embed(F.col("term")), lambda v: F.try_divide(dot(v, "__v"), norm(v) * F.col("__n")))
+    return top_per_document(found.select(id_col, "term", like.alias("score")), n, id_col)
+
+
+def diverse(terms: DataFrame, embed=letter_vector, n: int = 5, diversity: float = 0.3, id_col: str = "doc_id") -> DataFrame:
+    """id, rank and term: of each document's scored phrases (a bounded list) n by maximal marginal
+    relevance, where ``diversity`` weighs likeness to those chosen before."""
+    listed = terms.withColumn("v", embed(F.col("term"))).groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("term").alias("t"), F.col("v").alias("v")))).alias("c")
+    )
+
+    def choose(candidates: pd.Series) -> pd.Series:
+        out = []
+        for rows in candidates:
+            left, chosen = [(-r["s"], r["t"], np.array(r["v"], float)) for r in rows], []
+            while left and len(chosen) < n:
+                near = [max((_cosine(v, u) for _, _, u in chosen), default=0.0) for _, _, v in left]
+                best = max(range(len(left)), key=lambda i: ((1 - diversity) * left[i][0] - diversity * near[i], -i))
+                chosen.append(left.pop(best))
+            out.append([t for _, t, _ in chosen])
+        return pd.Series(out)
+
+    picked = listed.select(id_col, F.pandas_udf(choose, "array<string>")("c").alias("t"))
+    return picked.select(id_col, F.posexplode("t").alias("p", "term")).select(id_col, (F.col("p") + 1).alias("rank"), "term")
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    size = np.linalg.norm(a) * np.linalg.norm(b)
+    return float(a @ b / size) if size else 0.0
 
 
 def rejection(term, doc_freq, least_documents: int, least_length: int = 3) -> Column:

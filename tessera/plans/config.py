@@ -100,3 +100,31 @@ def deep_merge(base: dict, change: dict) -> dict:
 def changed_sections(old: dict, new: dict) -> list[str]:
     """Top-level names whose value differs, sorted."""
     return sorted(k for k in {*old, *new} if old.get(k) != new.get(k))
+
+
+def load(path: str) -> EngineConfig:
+    """The configuration of a YAML file; an empty one gives the defaults."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return from_mapping(yaml.safe_load(f) or {})
+
+
+def save(change: dict, path: str) -> list[str]:
+    """Merges ``change`` into a YAML file in one step and returns the sections that changed; without any
+    the file stays as it is. The result has to be a valid configuration."""
+    import os
+
+    import yaml
+
+    old = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            old = yaml.safe_load(f) or {}
+    new = deep_merge(old, change)
+    from_mapping(new)
+    if changed := changed_sections(old, new):
+        with open(f"{path}.new", "w", encoding="utf-8") as f:
+            yaml.safe_dump(new, f, sort_keys=True, allow_unicode=True)
+        os.replace(f"{path}.new", path)
+    return changed

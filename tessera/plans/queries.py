@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import COMMON_WORDS, REJECTED_TERMS
 from tessera.functions.vector import cosine_distance
-from tessera.operators import catalog, centroid, chat, chunking, gate, ingest, keywords, links, quality, retrieval
-from tessera.plans.config import KeywordConfig, RetrievalConfig
+from tessera.operators import catalog, centroid, chat, chunking, flow, gate, ingest, keywords, links, quality, retrieval, store
+from tessera.plans.config import EngineConfig, GateConfig, KeywordConfig, RetrievalConfig
 from tessera.streaming import streams
 
 KEYWORDS = ["and", "control", "data", "de", "la", "of", "system", "und"]
@@ -422,8 +422,117 @@ def _(e):
     return streams.rates(e)
 
 
+# key phrases, stored objects, whole questions
+
+_STOPS = _lines(TERMS)
+_LETTERS = "list_transform(range(0, 26), lambda i: (length({0}) - length(replace({0}, chr((97 + i)::INTEGER), '')))::DOUBLE)"
+_PHRASES = rf"""t AS (SELECT doc_id, lower(coalesce(text, '')) AS whole, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOPS})) AS w FROM documents),
+g AS (SELECT doc_id, whole, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM t)"""
+
+
+@query("phrase_counts", "documents", sql=f"WITH {_PHRASES} SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id")
+def _(d):
+    return keywords.phrases(d, stop_words=TERMS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("key_phrases", "documents", sql=f"""WITH {_PHRASES}, v AS (SELECT doc_id, {_LETTERS.format("whole")} AS a FROM t),
+s AS (SELECT g.doc_id, term, a, {_LETTERS.format("term")} AS b FROM g JOIN v USING (doc_id)),
+c AS (SELECT doc_id, term, CASE WHEN list_sum(b) > 0 THEN list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END AS score FROM s)
+SELECT doc_id, term, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC NULLS LAST, term)::INTEGER AS rank FROM c) WHERE rank <= 5""")
+def _(d):
+    return keywords.key_phrases(d, stop_words=TERMS)
+
+
+@query("diverse_phrases", "documents")
+def _(d):
+    return keywords.diverse(keywords.key_phrases(d, n=15, stop_words=TERMS))
+
+
+@query("stored_properties", "documents", sql="SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') AS source, 'unknown' AS filetype, 0 AS page FROM documents")
+def _(d):
+    return store.properties(d, ["doc_id"])
+
+
+@query("ingestion_counts", "documents", sql="SELECT count(*) FILTER (n_chars >= 50) AS processed, count(*) FILTER (n_chars < 50) AS rejected, count(*) FILTER (n_chars IS NULL) AS failed FROM documents")
+def _(d):
+    return store.ingestion_counts(d)
+
+
+@query("file_sizes", "documents", sql="SELECT source AS filetype, count(*) AS files, sum(n_chars)::BIGINT AS total, round(avg(n_chars), 6) AS mean, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY source")
+def _(d):
+    return store.file_sizes(d, "source", "n_chars")
+
+
+@query("cache_lookup", "pages", sql=f"""WITH c AS (SELECT page_id, md5(url) AS k, html FROM pages WHERE page_id % 3 <> 0)
+SELECT p.page_id, md5(p.url) AS cache_key, count(c.k) > 0 AS hit, coalesce(max_by(c.html, c.page_id), 'fetched ' || any_value(p.url)) AS page
+FROM pages p LEFT JOIN c ON md5(p.url) = c.k AND c.page_id % 48 <= 24 GROUP BY p.page_id, p.url""")
+def _(p):
+    # page_id % 48 hours old, entries live for 24
+    old = F.lit(NOW).cast("timestamp") - F.make_interval(hours=(F.col("page_id") % 48).cast("int"))
+    cache = p.where("page_id % 3 <> 0").select(links.cache_key("url").alias("cache_key"), F.col("html").alias("page"), old.alias("fetched_at"))
+    asked = p.select("page_id", links.cache_key("url").alias("cache_key"), F.concat(F.lit("fetched "), "url").alias("new"))
+    return store.lookup(asked, cache, "cache_key", "page", "new", F.lit(NOW).cast("timestamp"), 24).drop("new")
+
+
+@query("chats_newest_first", "conversations", sql="SELECT conv_id, max(turn) AS turns, row_number() OVER (ORDER BY max(turn) DESC, conv_id)::INTEGER AS place FROM conversations GROUP BY conv_id ORDER BY place LIMIT 100")
+def _(c):
+    listed = store.newest_first(c.groupBy("conv_id").agg(F.max("turn").alias("turns")), "turns", "conv_id").limit(100)
+    return listed.withColumn("place", F.row_number().over(Window.orderBy(F.desc("turns"), "conv_id")))
+
+
+@query("active_first", "supplier", sql="SELECT s_suppkey, s_name FROM supplier ORDER BY CASE WHEN s_acctbal > 0 THEN 0 ELSE 1 END, s_name LIMIT 20")
+def _(s):
+    return store.active_first(s, F.col("s_acctbal") > 0, "s_name").select("s_suppkey", "s_name").limit(20)
+
+
+@query("object_preview", "embeddings", sql="SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 50")
+def _(e):
+    return store.preview(e, "vec_id")
+
+
+@query("size_options", "nation", sql="SELECT n_nationkey, array_to_string(CASE WHEN n_nationkey >= 10 AND n_nationkey % 10 = 0 THEN range(10, n_nationkey + 1, 10) ELSE list_concat(range(10, n_nationkey + 1, 10), [n_nationkey]) END, ', ') AS x FROM nation WHERE n_nationkey IN (0, 7, 10, 24)")
+def _(n):
+    some = n.where(F.col("n_nationkey").isin(0, 7, 10, 24))
+    return some.select("n_nationkey", F.array_join(store.size_options("n_nationkey").cast("array<string>"), ", ").alias("x"))
+
+
+@query("embedding_size", "embeddings", sql="SELECT len(embedding)::INTEGER AS dim, count(*) AS n FROM embeddings GROUP BY 1")
+def _(e):
+    return e.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("names_allowed", "documents", sql="SELECT doc_id, coalesce(regexp_full_match(source, '[A-Za-z0-9_]+'), false) AS collection, coalesce(regexp_full_match(source, '[a-zA-Z0-9_-]+') AND length(source) <= 50, false) AS instance FROM documents")
+def _(d):
+    return d.select("doc_id", store.is_collection_name("source").alias("collection"), store.is_instance_name("source").alias("instance"))
+
+
+@query("term_lines", "part", sql="SELECT p_partkey, p_name || ': ' || printf('%.4f', p_retailprice) AS line FROM part")
+def _(p):
+    return p.select("p_partkey", store.term_line("p_name", "p_retailprice").alias("line"))
+
+
+@query("parsed_lines", "part", sql="SELECT p_partkey, trim(p_name) AS term, p_size::DOUBLE AS score FROM part WHERE p_partkey % 2 = 0")
+def _(p):
+    size = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise("none")
+    lines = p.select("p_partkey", store.parsed_line(F.concat("p_name", F.lit(" : "), size)).alias("x"))
+    return lines.where("x is not null").select("p_partkey", "x.term", "x.score")
+
+
+@query("answers", "conversations", "embeddings", sql=f"""WITH {_BACK}, q AS (SELECT conv_id, {_CLEAN} AS clean, text AS asked, role FROM r WHERE back = 1),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT list(m ORDER BY i) AS v FROM ({_MEAN})),
+s AS (SELECT q.*, list_filter(regexp_split_to_array(lower(clean), '[\\s\\p{{Z}}]+'), lambda x: length(x) > 1) AS parts, greatest(least(coalesce(list_cosine_similarity(e.v, c.v), 0), 1), 0) AS semantic FROM c, q LEFT JOIN e ON e.vec_id = q.conv_id),
+t AS (SELECT *, list_transform(list_filter(parts, lambda x: x NOT IN ({_lines(COMMON_WORDS)})), lambda x: regexp_replace(x, '[.,!?;:]+$', '')) AS terms FROM s),
+f AS (SELECT *, 0.7::DOUBLE * semantic + 0.3::DOUBLE * CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda x: x IN ({_lines(KEYWORDS)}))) / len(terms) ELSE 0 END AS fused FROM t)
+SELECT conv_id, clean AS query, CASE WHEN length(clean) < 3 THEN 'rejected' WHEN fused < 0.05 THEN 'irrelevant' WHEN {" OR ".join(f"contains(lower(asked), '{k}')" for k in KEYWORDS)} THEN 'answered' ELSE 'invalid' END AS status FROM f""")
+def _(c, e):
+    asked = c.withColumns({"local": F.col("text"), "api": F.lit("")}).join(e.select(F.col("vec_id").alias("conv_id"), "embedding"), "conv_id", "left")
+    row = centroid.centroid(e).first()  # one vector
+    cfg = EngineConfig(gate=GateConfig(threshold=0.05))
+    return flow.answers(asked, KEYWORDS, vector="embedding", centroid=list(row["centroid"]) if row else [], cfg=cfg).select("conv_id", "query", "status")
+
+
 def entry(spark, sf_dir: str) -> DataFrame:
     """Query vector, the nearest rows, diverse ones among them, and their texts: rank, doc_id, text."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
     found = retrieval.mmr(e, _first_vector(e))
-    return d.join(F.broadcast(found), F.col("doc_id") == F.col("vec_id")).select("rank", "doc_id", "text").orderBy("rank")
+    return F.broadcast(found).join(d, F.col("doc_id") == F.col("vec_id"), "left").select("rank", F.col("vec_id").alias("doc_id"), "text").orderBy("rank")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import FILE_TYPES
+from tessera.functions.scalars import let
 from tessera.functions.text import markdown_table, split_list
 from tessera.session import ship
 
@@ -34,10 +35,39 @@ def csv_table(spark, path: str, header: bool = True) -> DataFrame:
     return spark.read.csv(path, header=header, inferSchema=True, mode="DROPMALFORMED")
 
 
+def detected_charset(content="content") -> Column:
+    """The charset of bytes by their byte order mark, UTF-8 if they are valid in it, else iso-8859-1."""
+    c = F.col(content) if isinstance(content, str) else content
+    head = F.hex(F.substring(c, 1, 3))
+    wide = F.when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE")
+    return F.coalesce(wide, F.when(F.is_valid_utf8(c.cast("string")), "UTF-8").otherwise("iso-8859-1"))
+
+
+def detected_text(content="content") -> Column:
+    """The text of bytes in their detected charset, without a byte order mark."""
+    c = F.col(content) if isinstance(content, str) else content
+    kind = detected_charset(c)
+    text = F.when(kind == "UTF-16LE", F.decode(c, "UTF-16LE")).when(kind == "UTF-16BE", F.decode(c, "UTF-16BE"))
+    text = text.when(kind == "iso-8859-1", F.decode(c, "iso-8859-1")).otherwise(F.decode(c, "UTF-8"))
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+#: A cell in quotes, with doubled quotes inside, or one without; then a comma or the end.
+_CELL = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,"]*))(?=,|$)'
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a line; commas inside quotes don't split."""
+    plain = F.regexp_extract_all(line, F.lit(_CELL), F.lit(2))
+    quoted = F.regexp_extract_all(line, F.lit(_CELL), F.lit(1))
+    return F.zip_with(plain, quoted, lambda p, q: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
+
+
 def csv_text(content="content") -> Column:
-    """A small file's lines as a table with bars, cells split at commas; quoted commas need csv_table."""
-    lines = F.filter(F.split(plain_text(content), "\r?\n"), lambda s: s != "")
-    return markdown_table(F.transform(lines, lambda s: F.split(s, ",")))
+    """A small file's lines as a table with bars; lines with more cells than the first are left out."""
+    lines = F.filter(F.split(detected_text(content), "\r?\n"), lambda s: s != "")
+    rows = F.transform(lines, csv_cells)
+    return markdown_table(let(rows, lambda t: F.filter(t, lambda r: F.size(r) <= F.size(F.get(t, F.lit(0))))))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -87,7 +117,7 @@ def texts(files: DataFrame) -> DataFrame:
     rows = files.select("path", "filetype", "content_hash", "content")
     office = office_documents(rows.where("filetype = '.docx'")).select("path", "filetype", "content_hash", "text")
     plain = rows.where("filetype <> '.docx'")
-    text = F.when(F.col("filetype").isin(".txt", ".md"), plain_text()).when(F.col("filetype") == ".csv", csv_text())
+    text = F.when(F.col("filetype").isin(".txt", ".md"), detected_text()).when(F.col("filetype") == ".csv", csv_text())
     return plain.select("path", "filetype", "content_hash", text.alias("text")).unionByName(office)
 
 

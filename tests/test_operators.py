@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, text, vector
-from tessera.operators import centroid, chat, chunking, gate, ingest, keywords, links, quality, retrieval
+from tessera.operators import centroid, chat, chunking, flow, gate, ingest, keywords, links, quality, retrieval, store
 from tessera.plans import config
 from tessera.sources import files, sinks
 from tessera.streaming import streams
@@ -212,3 +212,96 @@ def test_entry_without_an_optional_library():
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) >= 50 and out[1] == "False" and int(out[2]) >= 47
+
+
+def test_csv_text_with_quotes_and_bad_lines(spark):
+    raw = b'a,b\n"x, y",2\n1,2,3\n"say ""hi""",\n'
+    got = one(spark, files.csv_text(F.lit(raw)))
+    assert got == 'TABLE:\n| a | b |\n| --- | --- |\n| x, y | 2 |\n| say "hi" |  |'
+
+
+@pytest.mark.parametrize("raw, text", [(b"caf\xc3\xa9", "café"), (b"caf\xe9", "café"), (b"\xff\xfea\x00", "a"), (b"\xef\xbb\xbfa", "a"), (b"", "")])
+def test_detected_text(spark, raw, text):
+    assert one(spark, files.detected_text(F.lit(raw))) == text
+
+
+def test_yaml_settings(tmp_path):
+    path = str(tmp_path / "settings.yaml")
+    assert config.save({"gate": {"threshold": 0.6}}, path) == ["gate"] and config.save({"gate": {"threshold": 0.6}}, path) == []
+    assert config.load(path).gate.threshold == 0.6 and config.load(path).retrieval.k == 6
+    with pytest.raises(ValueError):
+        config.save({"nothing": 1}, path)
+    assert config.load(path).gate.threshold == 0.6
+
+
+def test_chats_and_centroids_are_stored(spark, tmp_path):
+    import datetime as dt
+
+    path = str(tmp_path / "chats")
+    for i in (1, 2, 3):
+        store.save_chat(spark, path, (f"c{i}", "q", "r", dt.datetime(2024, 1, i)))
+    with pytest.raises(ValueError):
+        store.save_chat(spark, path, ("c1", "q", "r", dt.datetime(2024, 1, 9)))
+    store.delete_chat(spark, path, "c2")
+    assert [r["id"] for r in store.chats(spark, path).collect()] == ["c3", "c1"]
+    vectors = spark.createDataFrame([([1.0, 2.0],)], "centroid array<double>").withColumn("n", F.lit(5))
+    where = str(tmp_path / "centroids")
+    assert store.load_centroid(spark, where).count() == 0
+    store.save_centroid(vectors, where, "all", F.lit("2024-01-01").cast("timestamp"))
+    assert store.load_centroid(spark, where).select("centroid", "n").first() == ([1.0, 2.0], 5)
+
+
+def test_store_wants_a_vector_for_each_object(spark, tmp_path):
+    path = str(tmp_path / "objects")
+    rows = spark.createDataFrame([("a", [1.0]), ("b", None)], "text string, embedding array<double>")
+    with pytest.raises(ValueError):
+        store.store(rows, path)
+    assert store.store(rows.where("embedding is not null"), path) == 1 and spark.read.parquet(path).count() == 1
+    with pytest.raises(ValueError):
+        store.create_collection(spark, "no-name", "x int")
+
+
+def test_cache_is_fresh_newest_and_cleared(spark, tmp_path):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    rows = [("k", "old", "2024-01-01 12:00:00"), ("k", "new", "2024-01-01 13:00:00"), ("e", "gone", "2023-01-01 00:00:00"), (None, "x", "2024-01-01 12:00:00")]
+    cache = spark.createDataFrame(rows, "key string, value string, at string").withColumn("fetched_at", F.col("at").cast("timestamp")).drop("at")
+    asked = spark.createDataFrame([("k",), ("e",), (None,)], "key string")
+    got = {r["key"]: (r["hit"], r["value"]) for r in store.lookup(asked, cache, "key", "value", F.lit("made"), now, 24).collect()}
+    assert got == {"k": (True, "new"), "e": (False, "made"), None: (False, "made")}
+    path = str(tmp_path / "cache")
+    store.clear(spark, path, "key string, value string")
+    from tessera.sources.sinks import read_version
+
+    assert read_version(spark, path, "key string, value string").count() == 0
+
+
+def test_answers_take_every_way(spark):
+    messages = [(1, 0, "user", "??"), (2, 0, "user", "nothing of interest"), (3, 0, "user", "the control system data"), (4, 0, "user", "control data"), (5, 0, "user", "system data")]
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({"local": F.lit("some control answer"), "api": F.when(F.col("conv_id") == 4, "off the point").otherwise("")})
+    cfg = config.EngineConfig(gate=config.GateConfig(threshold=0.2))
+    first = {r["conv_id"]: r for r in flow.answers(df, ["control", "data", "system"], cfg=cfg).collect()}
+    assert {i: r["status"] for i, r in first.items()} == {1: "rejected", 2: "irrelevant", 3: "answered", 4: "invalid", 5: "answered"}
+    assert first[2]["prompt"] is None and "control system data" in first[3]["prompt"] and first[3]["response"] == "some control answer" and first[4]["response"] is None
+    cache = spark.createDataFrame([(first[5]["cache_key"], "kept control")], "cache_key string, response string").withColumn("fetched_at", F.current_timestamp())
+    again = {r["conv_id"]: r for r in flow.answers(df, ["control", "data", "system"], cache, cfg=cfg).collect()}
+    assert (again[5]["status"], again[5]["response"]) == ("cached", "kept control") and again[3]["status"] == "answered"
+
+
+def test_diverse_phrases_against_plain_marginal_relevance(spark):
+    rows = [(1, t, s) for t, s in (("aab", 0.9), ("aabb", 0.89), ("xyz", 0.5), ("ab", 0.88), ("q", 0.1))]
+    terms = spark.createDataFrame(rows, "doc_id long, term string, score double")
+    vec = {t: np.array([t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"], float) for _, t, _ in rows}
+    like = lambda a, b: vec[a] @ vec[b] / np.linalg.norm(vec[a]) / np.linalg.norm(vec[b])
+    left, want = {t: s for _, t, s in rows}, []
+    while left and len(want) < 3:
+        best = max(left, key=lambda t: 0.5 * left[t] - 0.5 * max((like(t, u) for u in want), default=0))
+        want.append(best)
+        left.pop(best)
+    got = keywords.diverse(terms, n=3, diversity=0.5).orderBy("rank").collect()
+    assert [r["term"] for r in got] == want
+
+
+def test_toggled_and_parsed(spark):
+    assert one(spark, store.toggled(F.array(F.lit("a"), F.lit("b")), F.lit("a"))) == ["b"] and one(spark, store.toggled(F.array(F.lit("a")), F.lit("c"))) == ["a", "c"]
+    assert one(spark, store.parsed_line(F.lit("a : b : 1"))) is None and tuple(one(spark, store.parsed_line(F.lit("a : 1.5")))) == ("a", 1.5)
