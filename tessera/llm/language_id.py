@@ -24,6 +24,8 @@ from tessera.session import ship
 #: of its letters, or more where the language would not come to CHARS.
 DOCS, LINE, CHARS = 96, 600, 20_000
 SEGMENT, LANES = 256, 4096
+#: Parses that go on one by one.
+FEW = 48
 UNDETERMINED = "und"
 
 
@@ -104,6 +106,7 @@ class Parser:
             self.roots.append(base * self.width)
             base += len(moves)
         self.table = np.concatenate(tables).astype(np.int32 if base * self.width < 2**29 else np.int64).ravel() if tables else None
+        self.flat = memoryview(self.table) if tables else None
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: phrases of each language, parsed characters, letters."""
@@ -146,26 +149,48 @@ class Parser:
         """Corrects ``last`` and ``ends`` of segments parsed from the root: a segment starts in the state in
         which its predecessor ends, and from where both parses are in one state they are the same."""
         used = np.repeat(root, grid.shape[1], 1)
-        follows = np.zeros(grid.shape[1], bool)
-        follows[1:] = of[1:] == of[:-1]
-        lang, lane = np.nonzero(follows & (np.roll(last, 1, axis=1) != root))
-        while len(lang):
-            true, old = last[lang, lane - 1], used[lang, lane]
-            used[lang, lane] = true
-            for row in grid:
-                chars = row[lane].astype(self.table.dtype)
-                a, b = self.table.take(true + chars), self.table.take(old + chars)
-                ends[lang, lane] += (a & 3).astype(np.int64) - (b & 3)  # each pair occurs once
-                apart = a >> 2 != b >> 2
-                lang, lane, true, old = lang[apart], lane[apart], a[apart] >> 2, b[apart] >> 2
-                if not len(lang):
+        follows = np.zeros(grid.shape[1] + 1, bool)
+        follows[1:-1] = of[1:] == of[:-1]
+        lang, lane = np.nonzero(follows[:-1] & (np.roll(last, 1, axis=1) != root))
+        true, old = last[lang, lane - 1], used[lang, lane]
+        used[lang, lane] = true
+        at = 0
+        while at < SEGMENT and len(lang) > FEW:
+            chars = grid[at, lane].astype(self.table.dtype)
+            a, b = self.table.take(true + chars), self.table.take(old + chars)
+            ends[lang, lane] += (a & 3).astype(np.int64) - (b & 3)  # each pair occurs once
+            apart = a >> 2 != b >> 2
+            lang, lane, true, old = lang[apart], lane[apart], a[apart] >> 2, b[apart] >> 2
+            at += 1
+        # the few that are still apart go one by one
+        moved = []
+        for i, k, t, r in zip(lang.tolist(), lane.tolist(), true.tolist(), old.tolist(), strict=True):
+            t, r, gain = self._walk(grid[at:, k].tolist(), t, r)
+            ends[i, k] += gain
+            if t != r:
+                last[i, k] = t
+                moved.append((k, i))
+        for k, i in sorted(moved):
+            t, k = int(last[i, k]), k + 1
+            while follows[k] and t != used[i, k]:
+                old, used[i, k] = int(used[i, k]), t
+                t, r, gain = self._walk(grid[:, k].tolist(), t, old)
+                ends[i, k] += gain
+                if t == r:
                     break
-            last[lang, lane] = true  # still apart: the next segment starts elsewhere
-            next_ = lane + 1
-            go = next_ < grid.shape[1]
-            lang, lane = lang[go], next_[go]
-            go = follows[lane]
-            lang, lane = lang[go], lane[go]
+                last[i, k] = t
+                k += 1
+
+    def _walk(self, chars: list[int], t: int, r: int) -> tuple[int, int, int]:
+        """Both states after the characters, or where they meet, and how many more phrases the first has ended."""
+        gain, table = 0, self.flat
+        for c in chars:
+            a, b = table[t + c], table[r + c]
+            gain += (a & 3) - (b & 3)
+            t, r = a >> 2, b >> 2
+            if t == r:
+                break
+        return t, r, gain
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
