@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import claim, documents, holds, id_remainder, is_remainder, sub_batches
-from tessera.session import ship
+from tessera.session import settle, ship
 
 #: Bound of the labelled sample: about DOCS rows a language and CHARS in all; of a row LINE characters
 #: of its letters, or more where the language would not come to CHARS.
 DOCS, LINE, CHARS = 96, 600, 20_000
 SEGMENT, LANES = 256, 4096
+#: Languages up to which their shares of the sample are broadcast.
+LANGUAGES = 10_000
 #: Parses that go on one by one.
 FEW = 48
 UNDETERMINED = "und"
@@ -230,7 +232,9 @@ def fit(rows: DataFrame) -> dict[str, str]:
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), F.col("text"))
     share = known.groupBy("lang").agg((F.lit(float(DOCS << 30)) / F.count(F.lit(1))).alias("most"))
-    drawn = known.join(share, "lang").where(F.col("draw") < F.col("most"))
+    share = settle(share)
+    few = share.count() <= LANGUAGES
+    drawn = known.join(F.broadcast(share) if few else share, "lang").where(F.col("draw") < F.col("most"))
     letters = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
     drawn = drawn.select("lang", "draw", letters.alias("text")).select("lang", "draw", _stretch(F.lit(CHARS)).alias("text"))
     # rows from short to long: the level to which all can be cut so that CHARS remain
