@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import COMMON_WORDS, REJECTED_TERMS
@@ -417,6 +417,11 @@ def _(e):
     return e.select("event_id", (age > 24 * 3600).alias("expired"))
 
 
+@query("cache_fresh", "events", sql="SELECT event_id FROM events WHERE date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-20 00:00:00') <= 48 * 3600")
+def _(e):
+    return links.fresh(e, F.lit("2024-01-20 00:00:00").cast("timestamp"), 48, "ts").select("event_id")
+
+
 @query("rate_window", "events", sql="SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
 def _(e):
     return streams.rates(e)
@@ -474,15 +479,14 @@ def _(p):
     return store.lookup(asked, cache, "cache_key", "page", "new", F.lit(NOW).cast("timestamp"), 24).drop("new")
 
 
-@query("chats_newest_first", "conversations", sql="SELECT conv_id, max(turn) AS turns, row_number() OVER (ORDER BY max(turn) DESC, conv_id)::INTEGER AS place FROM conversations GROUP BY conv_id ORDER BY place LIMIT 100")
+@query("chats_newest_first", "conversations", sql="SELECT conv_id, max(turn) AS turns FROM conversations GROUP BY conv_id ORDER BY turns DESC, conv_id")
 def _(c):
-    listed = store.newest_first(c.groupBy("conv_id").agg(F.max("turn").alias("turns")), "turns", "conv_id").limit(100)
-    return listed.withColumn("place", F.row_number().over(Window.orderBy(F.desc("turns"), "conv_id")))
+    return store.newest_first(c.groupBy("conv_id").agg(F.max("turn").alias("turns")), "turns", "conv_id")
 
 
-@query("active_first", "supplier", sql="SELECT s_suppkey, s_name FROM supplier ORDER BY CASE WHEN s_acctbal > 0 THEN 0 ELSE 1 END, s_name LIMIT 20")
+@query("active_first", "supplier", sql="SELECT s_suppkey, s_name FROM supplier ORDER BY CASE WHEN s_acctbal > 0 THEN 0 ELSE 1 END, s_name")
 def _(s):
-    return store.active_first(s, F.col("s_acctbal") > 0, "s_name").select("s_suppkey", "s_name").limit(20)
+    return store.active_first(s, F.col("s_acctbal") > 0, "s_name").select("s_suppkey", "s_name")
 
 
 @query("object_preview", "embeddings", sql="SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 50")
@@ -490,10 +494,9 @@ def _(e):
     return store.preview(e, "vec_id")
 
 
-@query("size_options", "nation", sql="SELECT n_nationkey, array_to_string(CASE WHEN n_nationkey >= 10 AND n_nationkey % 10 = 0 THEN range(10, n_nationkey + 1, 10) ELSE list_concat(range(10, n_nationkey + 1, 10), [n_nationkey]) END, ', ') AS x FROM nation WHERE n_nationkey IN (0, 7, 10, 24)")
+@query("size_options", "nation", sql="SELECT n_nationkey, array_to_string(CASE WHEN n_nationkey >= 10 AND n_nationkey % 10 = 0 THEN range(10, n_nationkey + 1, 10) ELSE list_concat(range(10, n_nationkey + 1, 10), [n_nationkey]) END, ', ') AS x FROM nation")
 def _(n):
-    some = n.where(F.col("n_nationkey").isin(0, 7, 10, 24))
-    return some.select("n_nationkey", F.array_join(store.size_options("n_nationkey").cast("array<string>"), ", ").alias("x"))
+    return n.select("n_nationkey", F.array_join(store.size_options("n_nationkey").cast("array<string>"), ", ").alias("x"))
 
 
 @query("embedding_size", "embeddings", sql="SELECT len(embedding)::INTEGER AS dim, count(*) AS n FROM embeddings GROUP BY 1")
