@@ -14,6 +14,7 @@ from tessera.functions.fixed import FILE_TYPES
 from tessera.functions.scalars import let
 from tessera.functions.text import markdown_table, split_list
 from tessera.session import ship
+from tessera.sources import pdf
 
 
 def scan(spark, folder: str, types: list[str] | None = None, recursive: bool = False) -> DataFrame:
@@ -111,14 +112,30 @@ def office_documents(files: DataFrame, content: str = "content") -> DataFrame:
     return made.select("*", "__d.text", "__d.tables").drop("__d")
 
 
+def pdf_pages(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with page (from 1) and page_text, a row for each page; files that can't be read have none."""
+    return files.select("*", F.posexplode(_page_texts(files, content)).alias("__p", "page_text")).withColumn("page", F.col("__p") + 1).drop("__p")
+
+
+def _page_texts(files: DataFrame, content: str) -> Column:
+    ship(files.sparkSession)
+
+    def read(contents: pd.Series) -> pd.Series:
+        return pd.Series([pdf.pages(bytes(c)) if c is not None else None for c in contents], dtype=object)
+
+    return F.pandas_udf(read, "array<string>")(F.col(content))
+
+
 def texts(files: DataFrame) -> DataFrame:
-    """path, filetype, content_hash and text of scanned files. PDF needs a reader of its own: its text
-    is null here, and pages can be added by a table function over `content`."""
+    """path, filetype, content_hash and text of scanned files; pages of a PDF are joined by lines `---`.
+    The text is null where a file can't be read."""
     rows = files.select("path", "filetype", "content_hash", "content")
     office = office_documents(rows.where("filetype = '.docx'")).select("path", "filetype", "content_hash", "text")
-    plain = rows.where("filetype <> '.docx'")
+    paged = rows.where("filetype = '.pdf'")
+    paged = paged.select("path", "filetype", "content_hash", F.array_join(_page_texts(paged, "content"), "\n---\n").alias("text"))
+    plain = rows.where("filetype NOT IN ('.docx', '.pdf')")
     text = F.when(F.col("filetype").isin(".txt", ".md"), detected_text()).when(F.col("filetype") == ".csv", csv_text())
-    return plain.select("path", "filetype", "content_hash", text.alias("text")).unionByName(office)
+    return plain.select("path", "filetype", "content_hash", text.alias("text")).unionByName(office).unionByName(paged)
 
 
 def json_state(spark, path: str, schema: str) -> DataFrame:

@@ -1,0 +1,120 @@
+"""Text of PDF pages with the standard library alone.
+
+Plain and deflated streams, object streams, page trees and strings in one-byte encodings are read. Fonts
+with two-byte codes, other stream filters and ruled tables need a parser of their own; encrypted files have no pages.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R\b")
+_TOKEN = re.compile(
+    rb"(?P<string>\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\))|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<number>[-+]?(?:\d+\.?\d*|\.\d+))"
+    rb"|/[^\s()<>\[\]{}/%]*|%[^\r\n]*|(?P<operator>[A-Za-z'\"][A-Za-z0-9*]*)",
+    re.S,
+)
+_ESCAPE = re.compile(rb"\\(\r\n|[0-7]{1,3}|.)", re.S)
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+#: A shift within a line that is wider than this, in thousandths of the font's size, is a space.
+GAP = 200
+
+
+def _body(raw: bytes) -> bytes:
+    """An object's stream, inflated as far as it goes; empty if there is none or another filter is set."""
+    found = _STREAM.search(raw)
+    if not found:
+        return b""
+    head, data = raw[: found.start()], found[1]
+    if b"/Filter" not in head:
+        return data
+    if b"/FlateDecode" not in head or re.search(rb"/(LZW|ASCII85|ASCIIHex|RunLength|DCT)Decode", head):
+        return b""
+    try:
+        return zlib.decompressobj().decompress(data)
+    except zlib.error:
+        return b""
+
+
+def _objects(content: bytes) -> dict[int, bytes]:
+    """Objects by number, those of object streams too; of several with one number the last counts."""
+    out = {int(m[1]): m[2] for m in _OBJECT.finditer(content)}
+    for raw in list(out.values()):
+        if re.search(rb"/Type\s*/ObjStm\b", raw) and (first := re.search(rb"/First\s+(\d+)", raw)):
+            data, start = _body(raw), int(first[1])
+            heads = [int(x) for x in re.findall(rb"\d+", data[:start])]
+            places = heads[1::2] + [len(data) - start]
+            for number, begin, end in zip(heads[::2], places, places[1:]):
+                out.setdefault(number, data[start + begin : start + end])
+    return out
+
+
+def _references(raw: bytes, name: bytes) -> list[int]:
+    found = re.search(rb"/" + name + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R\b)", raw)
+    return [int(n) for n in _REFERENCE.findall(found[1])] if found else []
+
+
+def _pages(objects: dict[int, bytes]) -> list[bytes]:
+    """Page objects in the order of the page tree, or by number if there is no tree."""
+    is_page = {n for n, raw in objects.items() if re.search(rb"/Type\s*/Page\b", raw)}
+    roots = [n for raw in objects.values() if re.search(rb"/Type\s*/Catalog\b", raw) for n in _references(raw, b"Pages")]
+    order, seen, ahead = [], set(), roots[-1:]
+    while ahead:
+        n = ahead.pop(0)
+        if n in seen or n not in objects:
+            continue
+        seen.add(n)
+        if n in is_page:
+            order.append(n)
+        else:
+            ahead = _references(objects[n], b"Kids") + ahead
+    return [objects[n] for n in order or sorted(is_page)]
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        raw = _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() and m[1][:1] < b"8" else _ESCAPED.get(m[1], m[1]), token[1:-1])
+    return raw.decode("utf-16") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") and len(raw) % 2 == 0 else raw.decode("cp1252", "replace")
+
+
+def _shown(stream: bytes) -> str:
+    """The strings that a content stream shows, with line breaks where the text position moves down."""
+    out, held, numbers, inside = [], [], [], False
+    for m in _TOKEN.finditer(stream):
+        kind, token = m.lastgroup, m[0]
+        if kind in ("string", "hex"):
+            held.append(_string(token))
+        elif kind == "number":
+            numbers.append(float(token))
+            if held and numbers[-1] < -GAP:  # within an array of strings and shifts
+                held.append(" ")
+        elif kind == "operator":
+            if token == b"BT":
+                inside = True
+            elif token in (b"T*", b"'", b'"', b"Tm", b"ET") or (token in (b"Td", b"TD") and numbers[-1:] != [0.0]):
+                out.append("\n")
+            elif token in (b"Td", b"TD"):
+                out.append(" ")
+            if token in (b"Tj", b"TJ", b"'", b'"') and inside:
+                out += held
+            inside = inside and token != b"ET"
+            held, numbers = [], []
+    lines = (re.sub(r"[ \t]+", " ", line).strip() for line in "".join(out).replace("\x00", "").split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def pages(content: bytes | None) -> list[str] | None:
+    """The text of each page, empty where a page shows none; null for what is no readable PDF."""
+    if not content or b"%PDF-" not in content[:1024]:
+        return None
+    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R\b", content):
+        return None
+    objects = _objects(content)
+    found = _pages(objects)
+    return ["\n".join(filter(None, (_shown(_body(objects.get(n, b""))) for n in _references(page, b"Contents")))) for page in found] or None
