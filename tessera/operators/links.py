@@ -5,25 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import urls
 from tessera.functions.scalars import age_seconds, col
 from tessera.session import discard, settle
 
-HREF = r"""<a\s[^>]*href="([^"]*)\""""
-
-
-def resolved(base, href) -> Column:
-    """An absolute address for a link: absolute ones stay, others go below the site or the folder."""
-    b, h = col(base), col(href)
-    site = F.regexp_extract(b, r"^([a-z]+://[^/]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(b, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    return F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([a-z]+:)", 1), h)).when(h.startswith("/"), F.concat(site, h)).otherwise(F.concat(folder, F.lit("/"), h))
-
-
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """page_id, url and link: the distinct targets of a page's anchors, as written and resolved."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(HREF), F.lit(1)))
+    """page_id, url, href and link: the distinct targets of a page's anchors, as written and resolved.
+
+    Anchors in any case and any quotes count, those in comments, scripts and styles do not.
+    """
+    found = F.array_compact(F.array_distinct(F.transform(urls.tags(html, "a"), lambda tag: urls.attribute(tag, "href"))))
     rows = pages.select("page_id", url, F.explode(found).alias("href"))
-    return rows.withColumn("link", resolved(url, "href"))
+    return rows.withColumn("link", urls.resolve(url, "href"))
 
 
 def same_site(url, base) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.fixed import COMMON_WORDS, REJECTED_TERMS
 from tessera.functions.vector import cosine_distance
 from tessera.operators import catalog, centroid, chat, chunking, flow, gate, ingest, keywords, links, quality, retrieval, store
+from tessera.plans import web_sql
 from tessera.plans.config import EngineConfig, GateConfig, KeywordConfig, RetrievalConfig
 from tessera.streaming import streams
 
@@ -381,12 +382,12 @@ def _(d):
     return ingest.first_by_hash(d)
 
 
-_LINKS = """l AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '<a\\s[^>]*href="([^"]*)"', 1))) AS href FROM pages)"""
+_LINKS = f"""l AS (SELECT DISTINCT page_id, url, href FROM (SELECT page_id, url, {web_sql.attribute("tag", "href")} AS href FROM (SELECT page_id, url, unnest({web_sql.tags("html", "a")}) AS tag FROM pages)) WHERE href IS NOT NULL)"""
 
 
-@query("page_links", "pages", sql=f"WITH {_LINKS} SELECT page_id, href FROM l")
+@query("page_links", "pages", sql=f"WITH {_LINKS} SELECT page_id, href, {web_sql.resolve('url', 'href')} AS link FROM l")
 def _(p):
-    return links.page_links(p).select("page_id", "href")
+    return links.page_links(p).select("page_id", "href", "link")
 
 
 @query("page_same_site", "pages", sql=f"""WITH {_LINKS} SELECT page_id, href, coalesce(regexp_extract(href, '^(https?)://([^/?#]*)', 2) = regexp_extract(url, '^(https?)://([^/?#]*)', 2) AND regexp_matches(href, '^https?://'), false) AS same_site FROM l""")

@@ -136,11 +136,6 @@ def test_bfs_cycle_and_depth(spark):
     assert links.bfs(edges, roots, 0).count() == 1
 
 
-def test_link_resolution(spark):
-    at = lambda h: one(spark, links.resolved(F.lit("https://a.b/c/d?x"), F.lit(h)))
-    assert [at(h) for h in ("http://z", "/q", "e", "//h/i")] == ["http://z", "https://a.b/q", "https://a.b/c/e", "https://h/i"]
-
-
 def test_folder_to_chunks_and_manifest(spark, tmp_path):
     body = " ".join(f"Plain words number {chr(97 + i % 26)}{chr(97 + i // 26)} make one more sentence {chr(97 + i % 26)}q here." for i in range(40))
     (tmp_path / "in").mkdir()
