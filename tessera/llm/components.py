@@ -29,13 +29,15 @@ def _stars(edges: DataFrame) -> bool:
     return not node.agg(F.max((F.col("up") > 1) | (F.col("up") > F.col("least")))).first()[0]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
     """(node, component) for every node with an edge to another; component is the smallest node.
 
+    Nodes are of any type with an order, ``kind``.
+
     Edges with a null end, loops and repeated edges are harmless. The edges live in tables in the
     shared scratch folder; only whether stars are left reaches the driver.
     """
-    now = settle(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct())
+    now = settle(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v")).distinct())
     while not _stars(now):
         # the mid step is a table too: a skewed join can be split only if nothing above needs its order;
         # it has a row for each edge at most, so its repeated rows can wait for the next step
