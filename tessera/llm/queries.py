@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, quality, substring_dedup, token_counts, url_filters
+from tessera.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, merkle, minhash_dedup, mixing, packing, quality, substring_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_token_counts": token_counts.query,
     "op12_url_filters": url_filters.query,
+    "op13_merkle_manifest": merkle.query,
 }
 SQL = {
     "op5_substring_dedup": substring_dedup.SQL,
@@ -23,4 +24,5 @@ SQL = {
     "op2_minhash_dedup": minhash_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op12_url_filters": url_filters.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
