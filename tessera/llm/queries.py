@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, merkle, minhash_dedup, mixing, packing, quality, substring_dedup, token_counts, url_filters
+from tessera.llm import alignment, embedding_dedup, exact_dedup, language_id, lm_scoring, merkle, minhash_dedup, mixing, packing, quality, substring_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_token_counts": token_counts.query,
+    "op11_alignment": alignment.query,
     "op12_url_filters": url_filters.query,
     "op13_merkle_manifest": merkle.query,
 }
