@@ -29,7 +29,7 @@ from tessera.llm.token_counts import byte_letters
 from tessera.session import settle, ship
 
 #: Characters and documents of a block; segments that a worker remembers; longest segment that it does.
-CHARS, DOCS, REMEMBERED, WORD = 8_000_000, 50_000, 300_000, 64
+CHARS, DOCS, REMEMBERED, WORD = 3_000_000, 50_000, 150_000, 64
 #: Characters of segments that are encoded together.
 JOINED = 4000
 #: A space after a character that isn't white: tokens of neither side go on from before it.

@@ -79,7 +79,7 @@ def expected():
     return plain()
 
 
-@pytest.mark.parametrize("chars, docs, remembered", [(8_000_000, 50_000, 300_000), (700, 7, 40)])
+@pytest.mark.parametrize("chars, docs, remembered", [(3_000_000, 50_000, 150_000), (700, 7, 40)])
 def test_documents_against_plain_loops(spark, monkeypatch, expected, chars, docs, remembered):
     for name, value in (("CHARS", chars), ("DOCS", docs), ("REMEMBERED", remembered)):
         monkeypatch.setattr(alignment, name, value)
