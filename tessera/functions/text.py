@@ -94,12 +94,12 @@ def table_text(rows) -> Column:
 
 
 def markdown_table(rows) -> Column:
-    """`TABLE:` and the rows, the first set off by a rule; a single row is only its cells."""
+    """`TABLE:` and the rows, the first set off by a rule; a single row is its cells between bars."""
 
     def render(t: Column) -> Column:
         line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))
         rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.element_at(t, 1))))
         lines = F.concat(F.array(line(F.element_at(t, 1)), rule), F.transform(F.slice(t, 2, F.size(t)), line))
-        return F.when(F.size(t) > 1, F.concat(F.lit("TABLE:\n"), F.array_join(lines, "\n"))).otherwise(table_text(t))
+        return F.when(F.size(t) > 1, F.concat(F.lit("TABLE:\n"), F.array_join(lines, "\n"))).otherwise(F.concat(F.lit("TABLE:\n"), table_text(t)))
 
     return F.when(F.size(col(rows)) > 0, let(col(rows), render))

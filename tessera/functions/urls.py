@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import col
+from tessera.functions.scalars import col, let
 
 #: scheme with its colon, authority with its slashes, path, query with its mark, fragment with its mark (RFC 3986, appendix B).
 PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -19,11 +19,6 @@ NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&
 BLANK = " \t\n\r\f"
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _fold(path: Column) -> Column:
     """A path without its dot segments: ``..`` takes the segment before it, never the root."""
     parts = F.split(path, "/", -1)
@@ -65,7 +60,7 @@ def resolve(base, reference) -> Column:
 
 def unescape(text) -> Column:
     """Numeric entities and the named ones of ``NAMED`` as characters; others stay as written."""
-    return _let(col(text), lambda t: F.when(F.contains(t, F.lit("&")), _pieces(t)).otherwise(t))
+    return let(col(text), lambda t: F.when(F.contains(t, F.lit("&")), _pieces(t)).otherwise(t))
 
 
 def _pieces(t: Column) -> Column:
@@ -95,5 +90,5 @@ def attribute(tag, name: str) -> Column:
     """The first value of an attribute of a tag, without quotes and entities; null if it has none."""
     t = F.regexp_replace(col(tag), r"^<[A-Za-z0-9]+", "")
     names, values = (F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
-    first = _let(F.array_position(F.transform(names, F.lower), name), lambda at: F.when(at > 0, F.get(values, (at - 1).cast("int"))))
+    first = let(F.array_position(F.transform(names, F.lower), name), lambda at: F.when(at > 0, F.get(values, (at - 1).cast("int"))))
     return unescape(F.regexp_replace(first, r"""(?s)^(["'])(.*)\1$""", "$2"))

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import lzma
+import sys
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import FILE_TYPES
-from tessera.functions.scalars import let
+from tessera.functions.scalars import col, let
 from tessera.functions.text import markdown_table, split_list
+from tessera.operators import layout
 from tessera.session import ship
-from tessera.sources import pdf
+from tessera.sources import charset, pdf
 
 
 def scan(spark, folder: str, types: list[str] | None = None, recursive: bool = False) -> DataFrame:
@@ -36,39 +41,68 @@ def csv_table(spark, path: str, header: bool = True) -> DataFrame:
     return spark.read.csv(path, header=header, inferSchema=True, mode="DROPMALFORMED")
 
 
+def _plain(c: Column) -> Column:
+    """Whether bytes are UTF-8 that needs no closer look: valid, without a mark, zeros and escapes."""
+    return F.is_valid_utf8(c.cast("string")) & ~F.hex(F.substring(c, 1, 3)).startswith("EFBBBF") & (F.translate(c.cast("string"), "\x00\x1b", "") == c.cast("string"))
+
+
+def _by_worker(give, kind: str, content: Column, plain: Column) -> Column:
+    """``plain`` for plain bytes, which no worker gets to see, and what ``give`` makes of others."""
+
+    def look(contents: pd.Series) -> pd.Series:
+        return pd.Series([give(bytes(c)) if c is not None else None for c in contents], dtype=object)
+
+    made = F.pandas_udf(look, kind)(F.when(~_plain(content), content))
+    return F.when(_plain(content), plain).otherwise(made)
+
+
 def detected_charset(content="content") -> Column:
-    """The charset of bytes by their byte order mark, UTF-8 if they are valid in it, else iso-8859-1."""
-    c = F.col(content) if isinstance(content, str) else content
-    head = F.hex(F.substring(c, 1, 3))
-    wide = F.when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE")
-    return F.coalesce(wide, F.when(F.is_valid_utf8(c.cast("string")), "UTF-8").otherwise("iso-8859-1"))
+    """The charset of bytes, by ``charset.detect``; utf-8 for plain ones, null for null."""
+    return _by_worker(charset.detect, "string", col(content), F.lit("utf-8"))
 
 
 def detected_text(content="content") -> Column:
     """The text of bytes in their detected charset, without a byte order mark."""
-    c = F.col(content) if isinstance(content, str) else content
-    kind = detected_charset(c)
-    text = F.when(kind == "UTF-16LE", F.decode(c, "UTF-16LE")).when(kind == "UTF-16BE", F.decode(c, "UTF-16BE"))
-    text = text.when(kind == "iso-8859-1", F.decode(c, "iso-8859-1")).otherwise(F.decode(c, "UTF-8"))
-    return F.regexp_replace(text, "^\ufeff", "")
+    c = col(content)
+    return _by_worker(charset.text, "string", c, c.cast("string"))
 
 
-#: A cell in quotes, with doubled quotes inside, or one without; then a comma or the end.
-_CELL = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,"]*))(?=,|$)'
+def _csv(text: str | None) -> list[list[str]] | None:
+    """Rows of the usual dialect: quoted cells may hold commas, doubled quotes and line breaks; blank lines don't count."""
+    if text is None:
+        return None
+    csv.field_size_limit(sys.maxsize)
+    try:
+        return [row for row in csv.reader(io.StringIO(text, newline="")) if row]
+    except csv.Error:
+        return None
 
 
-def csv_cells(line: Column) -> Column:
-    """The cells of a line; commas inside quotes don't split."""
-    plain = F.regexp_extract_all(line, F.lit(_CELL), F.lit(2))
-    quoted = F.regexp_extract_all(line, F.lit(_CELL), F.lit(1))
-    return F.zip_with(plain, quoted, lambda p, q: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
+def csv_rows(text) -> Column:
+    """array<array<string>> of a small file's text; null where it can't be read."""
+
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([_csv(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(read, "array<array<string>>")(col(text))
+
+
+def _fitting(rows: Column) -> Column:
+    """Without the lines that have more cells than the first."""
+    return let(rows, lambda t: F.filter(t, lambda r: F.size(r) <= F.size(F.get(t, F.lit(0)))))
 
 
 def csv_text(content="content") -> Column:
     """A small file's lines as a table with bars; lines with more cells than the first are left out."""
-    lines = F.filter(F.split(detected_text(content), "\r?\n"), lambda s: s != "")
-    rows = F.transform(lines, csv_cells)
-    return markdown_table(let(rows, lambda t: F.filter(t, lambda r: F.size(r) <= F.size(F.get(t, F.lit(0))))))
+    return markdown_table(_fitting(csv_rows(detected_text(content))))
+
+
+def csv_tables(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with tables: the one table of each, its first line the headers; none where a file can't be read or is empty."""
+    rows = F.coalesce(_fitting(csv_rows(detected_text(content))), F.array().cast("array<array<string>>"))
+    one = files.withColumn("__t", rows)
+    table = F.struct(F.lit("table_1").alias("table_id"), F.get("__t", F.lit(0)).alias("headers"), F.slice("__t", 2, 2147483647).alias("data"))
+    return one.withColumn("tables", F.when(F.size("__t") > 0, F.array(table)).otherwise(F.array().cast(f"array<{TABLE}>"))).drop("__t")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -84,8 +118,8 @@ def _document(content: bytes) -> tuple[str | None, list[dict]]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    except (zipfile.BadZipFile, KeyError, ET.ParseError):
-        return None, []
+    except (zipfile.BadZipFile, KeyError, ET.ParseError, RuntimeError, zlib.error, lzma.LZMAError, EOFError, OSError, ValueError):
+        return None, []  # damaged, encrypted, or packed in a way that the library doesn't know
     parts, tables = [], []
     for node in body if body is not None else []:
         if node.tag == f"{_W}p" and (text := _runs(node).strip()):
@@ -112,18 +146,41 @@ def office_documents(files: DataFrame, content: str = "content") -> DataFrame:
     return made.select("*", "__d.text", "__d.tables").drop("__d")
 
 
-def pdf_pages(files: DataFrame, content: str = "content") -> DataFrame:
-    """``files`` with page (from 1) and page_text, a row for each page; files that can't be read have none."""
-    return files.select("*", F.posexplode(_page_texts(files, content)).alias("__p", "page_text")).withColumn("page", F.col("__p") + 1).drop("__p")
+PIECES = "array<array<struct<x0:double,y0:double,x1:double,y1:double,size:double,text:string>>>"
 
 
-def _page_texts(files: DataFrame, content: str) -> Column:
+def _pdf_pages(files: DataFrame, content: str) -> DataFrame:
+    """path, page (from 1) and pieces, for each page of each file that can be read."""
     ship(files.sparkSession)
 
     def read(contents: pd.Series) -> pd.Series:
-        return pd.Series([pdf.pages(bytes(c)) if c is not None else None for c in contents], dtype=object)
+        return pd.Series([pdf.placed(bytes(c)) if c is not None else None for c in contents], dtype=object)
+
+    paged = files.select("path", F.posexplode(F.pandas_udf(read, PIECES)(F.col(content))).alias("__p", "pieces"))
+    return paged.select("path", (F.col("__p") + 1).alias("page"), "pieces")
+
+
+def _pieces(pages: DataFrame) -> DataFrame:
+    return pages.select("path", "page", F.posexplode("pieces").alias("seq", "__x")).select("path", "page", "seq", "__x.*")
+
+
+def pdf_pieces(files: DataFrame, content: str = "content") -> DataFrame:
+    """path, page, seq, x0, y0, x1, y1, size, text: all that pages show, as ``operators.layout`` takes it."""
+    return _pieces(_pdf_pages(files, content))
 
-    return F.pandas_udf(read, "array<string>")(F.col(content))
+
+def pdf_pages(files: DataFrame, content: str = "content") -> DataFrame:
+    """path, page (from 1) and page_text: tables as `TABLE:` texts, then lines; files that can't be read have no rows."""
+    pages = _pdf_pages(files, content)
+    text = layout.contents(_pieces(pages), ["path", "page"]).withColumnRenamed("text", "page_text")
+    return pages.select("path", "page").join(text, ["path", "page"], "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
+
+
+def pdf_tables(files: DataFrame, content: str = "content") -> DataFrame:
+    """path, page, table_id (`page_i_table_j`), headers and data of each ruled table."""
+    found = layout.tables(pdf_pieces(files, content), ["path", "page"])
+    name = F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit("_table_"), F.col("table").cast("string"))
+    return found.select("path", "page", name.alias("table_id"), F.get("rows", F.lit(0)).alias("headers"), F.slice("rows", 2, 2147483647).alias("data"))
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -132,7 +189,9 @@ def texts(files: DataFrame) -> DataFrame:
     rows = files.select("path", "filetype", "content_hash", "content")
     office = office_documents(rows.where("filetype = '.docx'")).select("path", "filetype", "content_hash", "text")
     paged = rows.where("filetype = '.pdf'")
-    paged = paged.select("path", "filetype", "content_hash", F.array_join(_page_texts(paged, "content"), "\n---\n").alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("page", "page_text")))
+    pages = pdf_pages(paged).groupBy("path").agg(F.array_join(F.transform(listed, lambda p: p["page_text"]), "\n---\n").alias("text"))
+    paged = paged.select("path", "filetype", "content_hash").join(pages, "path", "left")
     plain = rows.where("filetype NOT IN ('.docx', '.pdf')")
     text = F.when(F.col("filetype").isin(".txt", ".md"), detected_text()).when(F.col("filetype") == ".csv", csv_text())
     return plain.select("path", "filetype", "content_hash", text.alias("text")).unionByName(office).unionByName(paged)
@@ -143,6 +202,23 @@ def json_state(spark, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=f"{schema}, _corrupt string", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
 
 
+def state_or_aside(spark, path: str, schema: str) -> DataFrame:
+    """Records of a JSON file; no rows if there is none. A file that can't be read as such is renamed to
+    ``path``.corrupt, in place of an older one, so that the next state starts afresh and it can be looked at."""
+    where, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.corrupt"))
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    none = spark.createDataFrame([], schema)
+    if not fs.exists(where):
+        return none
+    rows = json_state(spark, path, schema)
+    if rows.where("_corrupt is not null").take(1):
+        if fs.exists(aside):
+            fs.delete(aside, False)
+        fs.rename(where, aside)
+        return none
+    return rows.drop("_corrupt")
+
+
 def keyword_list(spark, path: str) -> DataFrame:
     """term: the trimmed, non-blank parts of comma-separated lines."""
     return spark.read.text(path).select(F.explode(split_list("value")).alias("term"))

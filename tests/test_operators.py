@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars, text, vector
 from tessera.operators import centroid, chat, chunking, flow, gate, ingest, keywords, links, quality, retrieval, store
 from tessera.plans import config
-from tessera.sources import files, pdf, sinks
+from tessera.sources import files, sinks
 from tessera.streaming import streams
 
 
@@ -90,7 +90,7 @@ def test_batch_search_goes_through_all_blocks(spark, monkeypatch):
     vecs = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
     asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 16)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 1024)
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.top_k_batch(df, asked, 3).collect()}
     unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
     best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :3]
@@ -301,47 +301,3 @@ def test_diverse_phrases_against_plain_marginal_relevance(spark):
 def test_toggled_and_parsed(spark):
     assert one(spark, store.toggled(F.array(F.lit("a"), F.lit("b")), F.lit("a"))) == ["b"] and one(spark, store.toggled(F.array(F.lit("a")), F.lit("c"))) == ["a", "c"]
     assert one(spark, store.parsed_line(F.lit("a : b : 1"))) is None and tuple(one(spark, store.parsed_line(F.lit("a : 1.5")))) == ("a", 1.5)
-
-
-def _pdf(streams: list[bytes], packed: bool, extra: bytes = b"") -> bytes:
-    """A file whose page tree lists its pages in reverse order of their numbers."""
-    out = [b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n"]
-    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in reversed(range(len(streams))))
-    out.append(b"2 0 obj << /Type /Pages /Kids [%s] /Count %d >> endobj\n" % (kids, len(streams)))
-    for i, data in enumerate(streams):
-        body, way = (zlib.compress(data), b"/Filter /FlateDecode ") if packed else (data, b"")
-        out.append(b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n" % (10 + 2 * i, 11 + 2 * i))
-        out.append(b"%d 0 obj << %s/Length %d >> stream\n%s\nendstream endobj\n" % (11 + 2 * i, way, len(body), body))
-    return b"".join(out) + b"trailer << /Root 1 0 R " + extra + b">>\n%%EOF"
-
-
-_LAST = b"BT /F1 12 Tf 72 700 Td [(Sec) -20 (ond) -350 (page)] TJ 0 -14 Td (a \\(b\\) \\351) Tj ET"
-_FIRST = b"% remark (no)\nBT /F1 12 Tf 72 700 Td (First) Tj T* <48 69> Tj ET q 1 0 0 1 0 0 cm Q"
-
-
-@pytest.mark.parametrize("packed", [False, True])
-def test_pdf_pages_in_tree_order(packed):
-    assert pdf.pages(_pdf([_LAST, b"", _FIRST], packed)) == ["First\nHi", "", "Second page\na (b) \u00e9"]
-
-
-def test_pdf_objects_in_streams():
-    inner = b"1 0 2 34 3 76 << /Type /Catalog /Pages 2 0 R >>  << /Type /Pages /Kids [3 0 R] /Count 1 >> << /Type /Page /Contents 5 0 R >>"
-    first = inner.index(b"<<")
-    places = [inner.index(x, first) - first for x in (b"<< /Type /Catalog", b"<< /Type /Pages", b"<< /Type /Page /")]
-    head = b" ".join(b"%d %d" % (n + 1, at) for n, at in enumerate(places)) + b" "
-    body = zlib.compress(head + inner[first:])
-    packed = b"4 0 obj << /Type /ObjStm /N 3 /First %d /Filter /FlateDecode >> stream\n%s\nendstream endobj\n" % (len(head), body)
-    assert pdf.pages(b"%PDF-1.5\n" + packed + b"5 0 obj << >> stream\nBT (inside) Tj ET\nendstream endobj\n") == ["inside"]
-
-
-def test_pdf_odd_files(spark, tmp_path):
-    assert pdf.pages(None) is None and pdf.pages(b"") is None and pdf.pages(b"no pdf") is None and pdf.pages(b"%PDF-1.4\n%%EOF") is None
-    assert pdf.pages(_pdf([_FIRST], False, b"/Encrypt 9 0 R ")) is None
-    (tmp_path / "good.PDF").write_bytes(_pdf([_LAST, _FIRST], True))
-    (tmp_path / "bad.pdf").write_bytes(b"%PDF-1.4 cut")
-    (tmp_path / "a.txt").write_text("plain")
-    found = files.scan(spark, str(tmp_path))
-    by = {r["path"].rsplit("/", 1)[1]: r["text"] for r in files.texts(found).collect()}
-    assert by == {"good.PDF": "First\nHi\n---\nSecond page\na (b) \u00e9", "bad.pdf": None, "a.txt": "plain"}
-    rows = files.pdf_pages(found.where("filetype = '.pdf'")).select("page", "page_text").orderBy("page").collect()
-    assert [tuple(r) for r in rows] == [(1, "First\nHi"), (2, "Second page\na (b) \u00e9")]
