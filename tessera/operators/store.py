@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import col, iso_utc
 from tessera.sources import sinks
+from tessera.sources.keyed import KeyedTable
 
 #: What a stored object has, and what stands in for missing values.
 PROPERTIES = {"text": "", "source": "unknown", "filetype": "unknown", "page": 0}
@@ -23,15 +24,23 @@ def properties(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return df.select(*have, *(extra or []))
 
 
-def metadata(files: DataFrame) -> DataFrame:
+def metadata(files: DataFrame, now=None) -> DataFrame:
     """``files`` with source, created and modified (RFC 3339), page, content_flags and error_messages.
 
-    No creation time is exposed, so the time of modification stands for both.
+    A column ``created`` of times, ``page``, ``content_flags`` or ``error_messages`` stays as it is. File systems
+    expose no time of creation, so without one the time of modification stands for it, and ``now`` for
+    a missing time, with a line in error_messages.
     """
-    when = iso_utc("modified")
+    have = set(files.columns)
+    lost = F.col("modified").isNull()
+    when = iso_utc(F.coalesce(F.col("modified"), now if now is not None else F.current_timestamp()))
+    made = iso_utc(F.coalesce(F.col("created"), F.col("modified"))) if "created" in have else when
     none = F.array().cast("array<string>")
+    kept = lambda c: F.coalesce(F.col(c), none) if c in have else none
+    errors = F.when(lost, F.concat(kept("error_messages"), F.array(F.lit("no time of modification")))).otherwise(kept("error_messages"))
     name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumns({"source": name, "created": when, "modified": when, "page": F.lit(0), "content_flags": none, "error_messages": none})
+    page = F.coalesce(F.col("page").try_cast("int"), F.lit(0)) if "page" in have else F.lit(0)
+    return files.withColumns({"source": name, "created": made, "modified": when, "page": page, "content_flags": kept("content_flags"), "error_messages": errors})
 
 
 def store(df: DataFrame, path: str, vector: str = "embedding") -> int:
@@ -92,20 +101,55 @@ def clear(spark, path: str, schema: str) -> int:
     return sinks.write_version(spark.createDataFrame([], schema), path)
 
 
+def chat_table(spark, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, CHATS, "id")
+
+
 def save_chat(spark, path: str, chat: tuple) -> int:
-    """Adds (id, question, response, created_at); an id that is there already raises."""
-    old = sinks.read_version(spark, path, CHATS)
-    if old.where(F.col("id") == chat[0]).limit(1).count():
-        raise ValueError(f"chat {chat[0]!r} exists")
-    return sinks.write_version(old.unionByName(spark.createDataFrame([chat], CHATS)), path)
+    """Adds (id, question, response, created_at); an id that is there already raises. Only the id's bucket is rewritten."""
+    return chat_table(spark, path).put_new(spark.createDataFrame([chat], CHATS))
 
 
 def delete_chat(spark, path: str, id_: str) -> int:
-    return sinks.write_version(sinks.without(sinks.read_version(spark, path, CHATS), "id", id_), path)
+    return chat_table(spark, path).delete(spark.createDataFrame([(id_,)], "id string"))
 
 
 def chats(spark, path: str) -> DataFrame:
-    return newest_first(sinks.read_version(spark, path, CHATS), "created_at", "id")
+    return newest_first(chat_table(spark, path).read(), "created_at", "id")
+
+
+class Cache:
+    """Values by key with the time they were fetched: answers by the md5 of the question and its history,
+    pages by the md5 of their address. ``hours`` is how long a value is fresh; without it, for good."""
+
+    def __init__(self, spark, path: str, kind: str = "string", hours: float | None = None):
+        self.table = KeyedTable(spark, path, f"cache_key string, value {kind}, fetched_at timestamp", "cache_key")
+        self.hours = hours
+
+    def _fresh(self, now: Column) -> Column:
+        return F.lit(True) if self.hours is None else F.unix_timestamp(now) - F.unix_timestamp("fetched_at") <= self.hours * 3600
+
+    def put(self, rows: DataFrame, now: Column, key: str = "cache_key", value: str = "value") -> int:
+        """Stores the rows' values as fetched at ``now``; of repeated keys one value stays. Null values are not stored."""
+        return self.table.put(rows.where(F.col(value).isNotNull()).select(F.col(key).alias("cache_key"), F.col(value).alias("value"), now.alias("fetched_at")), "fetched_at")
+
+    def get(self, keys: DataFrame, now: Column, key: str = "cache_key") -> DataFrame:
+        """cache_key, value and fetched_at of the keys that are there and fresh."""
+        return self.table.get(keys.select(F.col(key).alias("cache_key"))).where(self._fresh(now))
+
+    def missing(self, keys: DataFrame, now: Column, key: str = "cache_key") -> DataFrame:
+        """The rows of ``keys`` without a fresh value: what is to be computed or fetched."""
+        return keys.join(self.get(keys, now, key).select(F.col("cache_key").alias(key)), key, "left_anti")
+
+    def delete(self, keys: DataFrame, key: str = "cache_key") -> int:
+        return self.table.delete(keys.select(F.col(key).alias("cache_key")))
+
+    def expire(self, now: Column) -> int:
+        """Drops what is no longer fresh."""
+        return self.table.expire(self._fresh(now))
+
+    def clear(self) -> int:
+        return self.table.clear()
 
 
 def newest_first(df: DataFrame, at: str, key: str) -> DataFrame:
