@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,10 @@ from tessera.functions.scalars import col, let
 from tessera.functions.text import words
 from tessera.functions.vector import cosine, vector
 from tessera.plans.config import RetrievalConfig
+from tessera.session import ship
 
-#: About as many queries are broadcast to one scan of the vectors.
-BROADCAST_QUERIES = 10_000
+#: Bytes of queries that are broadcast to one scan of the vectors; rows, and queries, of one product.
+QUERY_BYTES, STRETCH, TILE = 64 << 20, 32_768, 128
 
 
 def top_k(df: DataFrame, query: Sequence[float], k: int = 6, id_col: str = "vec_id", embedding: str = "embedding", threshold: float | None = None) -> DataFrame:
@@ -27,23 +31,76 @@ def top_k(df: DataFrame, query: Sequence[float], k: int = 6, id_col: str = "vec_
 
 
 def top_k_batch(df: DataFrame, queries: DataFrame, k: int = 6, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k nearest rows of each of a set of queries (query_id, query array).
+    """query_id, id, similarity and rank: the k nearest rows of each of a set of queries (query_id, query array).
 
-    The queries travel to the scan, in blocks of about BROADCAST_QUERIES by a hash of their id; a row
-    meets each of them once. Ranking keeps k rows a query in every task before the shuffle.
+    The queries travel to the scan, as many at a time as QUERY_BYTES hold, by a hash of their id; a worker
+    multiplies them with stretches of vectors and keeps k of each stretch, so little reaches the
+    shuffle. Every pair's product is summed in the same order, so equal vectors tie and go by id. Null, zero
+    and non-finite vectors, on either side, and those of another length never match.
     """
-    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    spark = df.sparkSession
+    ship(spark)
+    asked = queries.select("query_id", vector("query").alias("query")).where("query is not null")
+    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
+    blocks = max(1, -(-n * 8 * (dim or 1) // QUERY_BYTES))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (_top_k_block(df, queries.where(block == i), k, id_col, embedding) for i in range(blocks)))
-
-
-def _top_k_block(df: DataFrame, queries: DataFrame, k: int, id_col: str, embedding: str) -> DataFrame:
-    packed = queries.agg(F.collect_list(F.struct("query_id", vector("query").alias("q"))).alias("__queries"))
-    pairs = df.join(F.broadcast(packed)).withColumn("__q", F.explode("__queries")).drop("__queries")
-    scored = pairs.withColumn("similarity", cosine(embedding, F.col("__q.q"))).where(F.col("similarity").isNotNull())
-    scored = scored.withColumn("query_id", F.col("__q.query_id")).drop("__q")
+    rows = df.select(id_col, vector(embedding).alias("v"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{id_col}` {df.schema[id_col].dataType.simpleString()}, similarity double"
+    found = [rows.mapInArrow(_nearest(spark.sparkContext.broadcast(asked.where(block == i).toArrow()), k, id_col), schema) for i in range(blocks)]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col(id_col)))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _matrix(lists: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, vectors, lengths) for each number of components, of the lists that have a direction."""
+    lists = lists.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out = []
+    for dim in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == dim)
+        part = pc.list_flatten(lists.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+        length = np.sqrt(np.einsum("ij,ij->i", part, part))
+        good = np.isfinite(part).all(1) & np.isfinite(length) & (length > 0)
+        out.append((at[good], part[good], length[good]))
+    return out
+
+
+def _nearest(sent, k: int, id_col: str):
+    """Of each stretch of rows (id, v), the k nearest of each of the broadcast queries."""
+
+    def within(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = table[id_col].combine_chunks()
+        place = np.empty(len(ids), "i8")
+        place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        known = {v.shape[1]: (at, v, length) for at, v, length in _matrix(table["v"])}
+        names = sent.value["query_id"].combine_chunks()
+        for asked, q, size in _matrix(sent.value["query"]):
+            at, v, length = known.get(q.shape[1], (np.zeros(0, "i8"),) * 3)
+            for a in range(0, len(asked) if len(at) else 0, TILE):
+                like = np.einsum("ik,jk->ij", q[a : a + TILE], v, optimize=False) / (size[a : a + TILE, None] * length)
+                if len(at) > k:
+                    i, j = np.nonzero(like >= np.partition(like, len(at) - k, axis=1)[:, len(at) - k, None])
+                else:
+                    i, j = (x.ravel() for x in np.indices(like.shape))
+                order = np.lexsort((place[at[j]], -like[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i)  # of each query's candidates, which may be more than k in a tie
+                kept = np.arange(len(i)) - first < k
+                i, j = i[kept], j[kept]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[a + i])), ids.take(pa.array(at[j])), pa.array(like[i, j])], ["query_id", id_col, "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= STRETCH:
+                yield from within(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield from within(pa.Table.from_batches(held))
+
+    return run
 
 
 def mmr_order(candidates, k: int, lambda_mult: float) -> Column:
