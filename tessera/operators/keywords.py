@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +9,34 @@ from tessera.functions.fixed import REJECTED_TERMS
 from tessera.functions.scalars import col, let
 from tessera.functions.text import ngrams, words
 from tessera.functions.vector import dot, letter_vector, norm
+from tessera.operators.retrieval import mmr_order
+from tessera.session import settle
 
+#: Most distinct words whose document frequencies are broadcast.
+BROADCAST_TERMS = 200_000
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
-    """id, term and score, the share of the document's words, for each distinct term of a document."""
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None, least: int = 2) -> DataFrame:
+    """id, term, tf and total (the document's words) for each distinct word of ``least`` letters of a document.
+
+    A document is one row, so its words are counted inside the row: sorted, one place for each run of equal
+    ones. Nothing is shuffled, and as no filter looks at the words they are worked out once.
+    """
     w = words(F.coalesce(F.col(text), F.lit("")))
-    kept = F.filter(w, lambda x: (F.length(x) > 1) & ~x.isin(*stop_words)) if stop_words else F.filter(w, lambda x: F.length(x) > 1)
-    # a document is one row, so its terms are counted inside the row: sorted words, one place for each run
-    rows = docs.select(id_col, F.array_sort(kept).alias("w")).where(F.size("w") > 0)
+    kept = F.filter(w, lambda x: (F.length(x) >= least) & (~x.isin(*stop_words) if stop_words else F.lit(True)))
+    rows = docs.select(id_col, F.array_sort(kept).alias("w"))
     first = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.element_at("w", F.greatest(i - 1, F.lit(1))) != F.element_at("w", i)))
+    first = F.when(F.size("w") > 0, first).otherwise(F.array().cast("array<int>"))
     rows = rows.select(id_col, "w", F.concat(first, F.array(F.size("w") + 1)).alias("at"))
     each = rows.select(id_col, "w", "at", F.posexplode(F.slice("at", 1, F.size("at") - 1)).alias("p", "i"))
     times = F.element_at("at", F.col("p") + 2) - F.col("i")
-    return each.select(id_col, F.element_at("w", F.col("i")).alias("term"), (times / F.size("w")).alias("score"))
+    return each.select(id_col, F.element_at("w", F.col("i")).alias("term"), times.alias("tf"), F.size("w").alias("total"))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """id, term and score, the share of the document's words, for each distinct term of a document."""
+    counted = term_counts(docs, id_col, text, stop_words)
+    return counted.select(id_col, "term", (F.col("tf") / F.col("total")).alias("score"))
 
 
 def aggregate(found: DataFrame) -> DataFrame:
@@ -50,28 +63,9 @@ def key_phrases(docs: DataFrame, embed=letter_vector, n: int = 5, id_col: str =
 def diverse(terms: DataFrame, embed=letter_vector, n: int = 5, diversity: float = 0.3, id_col: str = "doc_id") -> DataFrame:
     """id, rank and term: of each document's scored phrases (a bounded list) n by maximal marginal
     relevance, where ``diversity`` weighs likeness to those chosen before."""
-    listed = terms.withColumn("v", embed(F.col("term"))).groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("term").alias("t"), F.col("v").alias("v")))).alias("c")
-    )
-
-    def choose(candidates: pd.Series) -> pd.Series:
-        out = []
-        for rows in candidates:
-            left, chosen = [(-r["s"], r["t"], np.array(r["v"], float)) for r in rows], []
-            while left and len(chosen) < n:
-                near = [max((_cosine(v, u) for _, _, u in chosen), default=0.0) for _, _, v in left]
-                best = max(range(len(left)), key=lambda i: ((1 - diversity) * left[i][0] - diversity * near[i], -i))
-                chosen.append(left.pop(best))
-            out.append([t for _, t, _ in chosen])
-        return pd.Series(out)
-
-    picked = listed.select(id_col, F.pandas_udf(choose, "array<string>")("c").alias("t"))
-    return picked.select(id_col, F.posexplode("t").alias("p", "term")).select(id_col, (F.col("p") + 1).alias("rank"), "term")
-
-
-def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    size = np.linalg.norm(a) * np.linalg.norm(b)
-    return float(a @ b / size) if size else 0.0
+    item = F.struct((-F.col("score")).alias("s"), F.col("term").alias("id"), F.col("score").alias("similarity"), F.col("v").alias("vector"))
+    listed = terms.withColumn("v", embed(F.col("term"))).groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    return listed.select(id_col, F.posexplode(mmr_order("c", n, 1 - diversity)).alias("p", "term")).select(id_col, (F.col("p") + 1).alias("rank"), "term")
 
 
 def rejection(term, doc_freq, least_documents: int, least_length: int = 3) -> Column:
@@ -98,26 +92,37 @@ def top_per_document(found: DataFrame, n: int, id_col: str = "doc_id") -> DataFr
     return found.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, term and weight: counts times ln((1 + n) / (1 + df)) + 1, of unit length in a document."""
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """id, term and weight: counts times ln((1 + n) / (1 + df)) + 1, of unit length in a document.
+
+    Words are counted within their row; the document frequencies travel to the scan if there are few
+    enough of them, and else meet the counts by a join on the term.
+    """
     n = docs.count()
-    counts = docs.select(id_col, F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counts.join(df_, "term").withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
+    counts = term_counts(docs, id_col, text, stop_words, least=1)
+    known = settle(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    weighed = known.select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counts.join(F.broadcast(weighed) if known.count() <= BROADCAST_TERMS else weighed, "term").withColumn("x", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("x") / length).alias("weight"))
 
 
 def clusters(terms: DataFrame, k: int = 4, seed: int = 42, features: int = 256) -> DataFrame:
-    """term and cluster by k-means over hashed words of the terms; fewer terms give fewer clusters."""
+    """term and cluster by k-means over the terms' TF-IDF vectors of words; fewer terms give fewer clusters.
+
+    Words are hashed into ``features`` places; each term counts as a document, so words that many terms
+    share weigh less. Terms without a word are left out.
+    """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
-    n = terms.limit(k).count()
-    if n < 2:
-        return terms.select("term", F.lit(0).alias("cluster"))
     split = terms.select("term", words("term").alias("w")).where(F.size("w") > 0)
-    vectors = Normalizer(inputCol="tf", outputCol="features").transform(HashingTF(numFeatures=features, inputCol="w", outputCol="tf").transform(split))
+    n = split.limit(k).count()
+    if n < 2:
+        return split.select("term", F.lit(0).alias("cluster"))
+    counted = HashingTF(numFeatures=features, inputCol="w", outputCol="tf").transform(split)
+    weighed = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+    vectors = Normalizer(inputCol="tfidf", outputCol="features").transform(weighed)
     model = KMeans(k=min(k, n), seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select("term", "cluster")
 

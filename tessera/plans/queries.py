@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import COMMON_WORDS, REJECTED_TERMS
-from tessera.functions.vector import cosine_distance
-from tessera.operators import catalog, centroid, chat, chunking, flow, gate, ingest, keywords, links, quality, retrieval, store
+from tessera.functions.scalars import age_seconds
+from tessera.functions.vector import cosine_distance, norm
+from tessera.operators import catalog, centroid, chat, chunking, flow, gate, ingest, keywords, links, models, quality, retrieval, store
+from tessera.operators.features import Features
+from tessera.operators.vector_index import VectorIndex
 from tessera.plans import web_sql
 from tessera.plans.config import EngineConfig, GateConfig, KeywordConfig, RetrievalConfig
+from tessera.session import scratch_root
 from tessera.streaming import streams
 
 KEYWORDS = ["and", "control", "data", "de", "la", "of", "system", "und"]
@@ -414,8 +420,7 @@ def _(p):
 
 @query("ttl_expired", "events", sql=f"SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '{NOW}') > 24 * 3600 AS expired FROM events")
 def _(e):
-    age = F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_timestamp("ts")
-    return e.select("event_id", (age > 24 * 3600).alias("expired"))
+    return e.select("event_id", (age_seconds("ts", F.lit(NOW).cast("timestamp")) > 24 * 3600).alias("expired"))
 
 
 @query("cache_fresh", "events", sql="SELECT event_id FROM events WHERE date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-20 00:00:00') <= 48 * 3600")
@@ -535,6 +540,64 @@ def _(c, e):
     return flow.answers(asked, KEYWORDS, vector="embedding", centroid=list(row["centroid"]) if row else [], cfg=cfg).select("conv_id", "query", "status")
 
 
+_GATED = f"""q AS (SELECT conv_id, {_CLEAN} AS clean, text AS asked FROM r WHERE back = 1),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT list(m ORDER BY i) AS v FROM ({_MEAN})),
+s AS (SELECT q.*, e.v, list_filter(regexp_split_to_array(lower(clean), '[\\s\\p{{Z}}]+'), lambda x: length(x) > 1) AS parts, greatest(least(coalesce(list_cosine_similarity(e.v, c.v), 0), 1), 0) AS semantic FROM c, q LEFT JOIN e ON e.vec_id = q.conv_id),
+t AS (SELECT *, list_transform(list_filter(parts, lambda x: x NOT IN ({_lines(COMMON_WORDS)})), lambda x: regexp_replace(x, '[.,!?;:]+$', '')) AS terms FROM s),
+g AS (SELECT *, 0.7::DOUBLE * semantic + 0.3::DOUBLE * CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda x: x IN ({_lines(KEYWORDS)}))) / len(terms) ELSE 0 END AS fused FROM t)"""
+_SYSTEM = EngineConfig().chat.system_message
+
+
+@query("question_flow", "conversations", "embeddings", "documents", sql=f"""WITH {_BACK}, {_GATED},
+h AS (SELECT conv_id, string_agg(upper(role[1:1]) || lower(role[2:]) || ':' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) AS h FROM r WHERE back BETWEEN 2 AND 11 AND trim(coalesce(text, '')) <> '' GROUP BY conv_id),
+o AS (SELECT * FROM g WHERE length(clean) >= 3 AND fused >= 0.05),
+n AS (SELECT conv_id, e.vec_id, row_number() OVER (PARTITION BY conv_id ORDER BY list_cosine_similarity(o.v, e.v) DESC, e.vec_id) AS rank FROM o, e WHERE o.v IS NOT NULL QUALIFY rank <= 6),
+x AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM n JOIN documents ON doc_id = vec_id WHERE trim(text) <> '' GROUP BY conv_id),
+p AS (SELECT conv_id, clean, coalesce(context, '') AS context, split_part(coalesce(context, ''), chr(10) || chr(10), 1) AS made,
+  '{_SYSTEM}' || chr(10) || chr(10) || coalesce(h, '') || chr(10) || chr(10) || CASE WHEN coalesce(context, '') <> '' THEN 'Context:' || chr(10) || context || chr(10) || chr(10) ELSE '' END || 'User:' || chr(10) || clean AS prompt FROM o LEFT JOIN x USING (conv_id) LEFT JOIN h USING (conv_id)),
+a AS (SELECT *, {" OR ".join(f"contains(lower(made), '{k}')" for k in KEYWORDS)} AS ok FROM p)
+SELECT conv_id, CASE WHEN ok THEN 'answered' ELSE 'invalid' END AS status, clean AS query, context, prompt, CASE WHEN ok THEN made ELSE '{flow.UNCLEAR}' END AS response, CASE WHEN ok THEN 'local_llm' ELSE 'validation_failed' END AS source FROM a
+UNION ALL SELECT conv_id, CASE WHEN length(clean) < 3 THEN 'rejected' ELSE 'irrelevant' END, clean, NULL, NULL, CASE WHEN length(clean) < 3 THEN '{flow.SHORT}' ELSE '{flow.OUTSIDE}' END, CASE WHEN length(clean) < 3 THEN 'validation' ELSE 'domain_check' END FROM g WHERE length(clean) < 3 OR fused < 0.05""")
+def _(c, e, d):
+    asked = c.join(e.select(F.col("vec_id").alias("conv_id"), "embedding"), "conv_id", "left")
+    row = centroid.centroid(e).first()  # one vector
+    cfg = EngineConfig(gate=GateConfig(threshold=0.05))
+    texts = d.select(F.col("doc_id").alias("vec_id"), "text")
+    done = flow.converse(asked, e, texts, KEYWORDS, F.lit(NOW).cast("timestamp"), vector="embedding", centroid=list(row["centroid"]) if row else [], cfg=cfg)
+    return done.select("conv_id", "status", "query", "context", "prompt", "response.response", "response.source")
+
+
+@query("page_cache_hits", "pages", sql="SELECT page_id, md5(url) IN (SELECT md5(url) FROM pages WHERE page_id % 2 = 0 AND html IS NOT NULL) AS hit FROM pages WHERE url IS NOT NULL")
+def _(p):
+    cache = store.Cache(p.sparkSession, f"{scratch_root(p.sparkSession)}/pages-{uuid.uuid4().hex}", hours=24)
+    at = lambda text: F.lit(text).cast("timestamp")
+    keyed = p.where("url is not null").withColumn("cache_key", links.cache_key("url"))
+    cache.put(keyed.where("page_id % 2 = 0"), at("2024-05-31 12:00:00"), value="html")
+    held = cache.get(keyed, at(NOW)).select("cache_key", F.lit(True).alias("held"))
+    return keyed.join(held, "cache_key", "left").select("page_id", F.coalesce("held", F.lit(False)).alias("hit"))
+
+
+@query("document_embeddings", "documents", sql="SELECT doc_id, text IS NOT NULL AS embedded, CASE WHEN text IS NULL THEN NULL WHEN trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS length FROM documents")
+def _(d):
+    done = models.embed(d, models.HashedNgrams, dim=256)
+    return done.select("doc_id", F.col("embedding").isNotNull().alias("embedded"), norm("embedding").alias("length"))
+
+
+@query("index_topk", "embeddings")
+def _(e):
+    index = VectorIndex.build(e, f"{scratch_root(e.sparkSession)}/index-{uuid.uuid4().hex}")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.search(asked)
+
+
+@query("document_features", "documents")
+def _(d):
+    model = Features.fit(d)
+    if model is None:
+        return d.select("doc_id", F.lit(None).cast("array<double>").alias("features")).limit(0)
+    return model.transform(d).select("doc_id", F.transform("features", lambda x: F.abs(F.round(x, 6))).alias("features"))
+
+
 def entry(spark, sf_dir: str) -> DataFrame:
     """Query vector, the nearest rows, diverse ones among them, and their texts: rank, doc_id, text."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")

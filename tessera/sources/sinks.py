@@ -44,7 +44,7 @@ def read_version(spark, path: str, schema: str) -> DataFrame:
 def log_row(spark, path: str, name: str, parameters: str, outputs: str) -> None:
     """Adds a line to an experiment log in CSV."""
     row = spark.createDataFrame([(name, parameters, outputs)], "experiment_name string, parameters string, outputs string")
-    row.select(F.current_timestamp().alias("timestamp"), "*").write.mode("append").csv(path, header=True)
+    row.select(F.current_timestamp().alias("timestamp"), "*").write.mode("append").csv(path, header=True, escape='"')
 
 
 def keyword_file(terms: DataFrame, path: str) -> None:
