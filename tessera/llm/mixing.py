@@ -17,6 +17,8 @@ from tessera.session import settle, shuffle_partitions
 
 #: Weights by place of the source, most uses of a document, shards (a power of two) and blocks.
 WEIGHTS, REPEATS, SHARDS, BLOCKS, SEED = (1, 2, 3), 3, 64, 8192, 11
+#: Sources of a run that draws as one.
+CHUNK = 128
 #: Sources up to which the block table may be broadcast; it has at most BLOCKS + sources rows.
 BROADCAST_SOURCES = 50_000
 
@@ -64,22 +66,43 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     return _let(_let(given, sides), draw)
 
 
-def _left_quotas(node: Column, quotas: Column) -> Column:
-    """Block quotas of the left half of a node's shards, one conditional draw a source."""
-    total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, x: a + x)
+def _draws(node: Column, first: Column, quotas: Column, left: Column) -> Column:
+    """How many of each quota, of sources numbered from ``first``, go left if ``left`` of all do: one conditional draw a source."""
 
     def step(a, i):
-        u = (F.pmod(F.xxhash64(F.lit(SEED), node, i), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+        u = (F.pmod(F.xxhash64(F.lit(SEED), node, i + first), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
         q = F.element_at(quotas, i)
         return _let(
             hypergeometric(a["n"], q, a["l"], u),
             lambda k: F.struct((a["n"] - q).alias("n"), (a["l"] - k).alias("l"), F.concat(a["out"], F.array(k)).alias("out")),
         )
 
-    start = _let(total, lambda t: F.struct(t.alias("n"), F.floor(t / 2).cast("long").alias("l"), F.array().cast("array<bigint>").alias("out")))
+    start = F.struct(_sum(quotas).alias("n"), left.alias("l"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(F.sequence(F.lit(1), F.size(quotas)), start, step)["out"]
 
 
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda a, q: a + q)
+
+
+def _left_quotas(node: Column, quotas: Column) -> Column:
+    """Block quotas of the left half of a node's shards.
+
+    First the runs of CHUNK sources draw how much of them goes left, then the sources of each run
+    share that: the same distribution as source by source, but no array grows with all sources.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(quotas) - 1) / CHUNK).cast("int")), lambda c: F.slice(quotas, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def within(r: Column) -> Column:
+        sums = F.transform(r, _sum)
+        return _let(
+            _draws(node + F.lit(1 << 40), F.lit(0), sums, F.floor(_sum(sums) / 2).cast("long")),
+            lambda lefts: F.flatten(F.transform(F.sequence(F.lit(1), F.size(r)), lambda c: _draws(node, (c - 1) * CHUNK, F.element_at(r, c), F.element_at(lefts, c)))),
+        )
+
+    return F.when(F.size(quotas) > 0, _let(runs, within)).otherwise(F.array().cast("array<bigint>"))
+
+
 def split_quotas(root: DataFrame, shards: int) -> DataFrame:
     """From one row with ``quotas`` (array<long>) to one row per shard: node (0-based) and quotas."""
     tree = root.select(F.lit(0).cast("long").alias("node"), "quotas")
@@ -120,8 +143,8 @@ def targets(totals: DataFrame) -> DataFrame:
 def place(df: DataFrame, keep: list[str], shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """A row for each use of a document, and one without a shard for each document that isn't used.
 
-    Columns: ``keep`` of ``df``, size, source_size, target, use (0 to REPEATS-1), shard, order (sorts
-    a shard's rows at random), and source_no, bucket, row, which together name the row of ``df``.
+    Columns: ``keep`` of ``df``, size, source_size, target, use (0 to REPEATS-1), shard, block (of the
+    source's stream), order (sorts a shard's rows at random), and source_no, bucket, row, which together name the row of ``df``.
     Null texts have no words; null sources are one source, the last. Repeated rows are rows of their
     own. Documents without words are used as their place in the stream says and add nothing. Empty
     tables give no rows; columns of ``df`` beyond ``keep`` are ignored.
@@ -129,7 +152,8 @@ def place(df: DataFrame, keep: list[str], shards: int = SHARDS, blocks: int = BL
     spark = df.sparkSession
     buckets = 4 * shuffle_partitions(spark)
     carried = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)]
-    draw = F.xxhash64(F.lit(SEED), F.col("doc_id"))
+    # rows without an id are dealt out by their text
+    draw = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(SEED), F.col("doc_id"))).otherwise(F.xxhash64(F.lit(SEED), F.lit(SEED), whole_text()))
     sized = df.select(
         F.col("doc_id").alias("__id"), F.col("source"), words_of(whole_text()).alias("size"), draw.alias("draw"), *carried
     ).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
@@ -166,7 +190,7 @@ def place(df: DataFrame, keep: list[str], shards: int = SHARDS, blocks: int = BL
     rows = rows.join(drawn, ["source_no", "block"], "left")
     back = [F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)]
     order = F.xxhash64(F.lit(SEED + 1), "shard", "draw", "use")
-    return rows.select(*back, "size", "source_size", "target", "use", "shard", order.alias("order"), "source_no", "bucket", "row")
+    return rows.select(*back, "size", "source_size", "target", "use", "shard", "block", order.alias("order"), "source_no", "bucket", "row")
 
 
 def mix(df: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -178,9 +202,11 @@ def mix(df: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """taken is what the shards got of a document, and shards where its uses went, one entry each."""
     placed = place(documents(spark, sf_dir), ["doc_id"])
     used = F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0))
     one = placed.groupBy("source_no", "bucket", "row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), used.alias("taken")
-    )
-    return one.select("doc_id", "size", "source_size", "target", "taken")
+        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), used.alias("taken"),
+        F.array_sort(F.collect_list("shard")).alias("shards"),
+    )
+    return one.select("doc_id", "size", "source_size", "target", "taken", "shards")
