@@ -29,6 +29,14 @@ def is_remainder(doc_id: str | Column, mod: int, value: int) -> Column:
     return F.coalesce(id_remainder(doc_id, mod) == value, F.lit(False))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer by as many signs as it takes to be no column of ``df``, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import claim, documents, holds, id_remainder, is_remainder, sub_batches
+from tessera.llm.common import claim, documents, holds, id_remainder, is_remainder, sub_batches, unused
 from tessera.session import settle, ship
 
 #: Bound of the labelled sample: about DOCS rows a language and CHARS in all; of a row LINE characters
@@ -262,15 +262,15 @@ def predictor(model: dict[str, str]):
     return F.pandas_udf(predict, "lang_pred string, score double")
 
 
-def identify(df: DataFrame, model: dict[str, str]) -> DataFrame:
-    """``df`` with a struct column __lang of lang_pred and score.
+def identify(df: DataFrame, model: dict[str, str], name: str = "__lang") -> DataFrame:
+    """``df`` with a struct column ``name`` of lang_pred and score.
 
     Null, empty and letterless texts are `und` with score 0, as is everything if the model is
     empty. Ties go to the language that comes first by code point. Repeated rows get equal results,
     empty tables give no rows, and columns of other names pass through.
     """
     ship(df.sparkSession)
-    return df.withColumn("__lang", predictor(model)(F.col("text")))
+    return df.withColumn(name, predictor(model)(F.col("text")))
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
@@ -280,8 +280,9 @@ def keep_identified(df: DataFrame) -> DataFrame:
     model = fit(learn.select("doc_id", "lang", "text"))
     if not model:
         return df
-    found = identify(df, model).where(F.col("__lang.lang_pred") != UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "__lang.lang_pred")).drop("__lang")
+    name = unused(df, "__lang")
+    found = identify(df, model, name).where(F.col(f"{name}.lang_pred") != UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", f"{name}.lang_pred")).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

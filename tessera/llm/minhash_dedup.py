@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import claim, documents, holds, sub_batches, whole_text
+from tessera.llm.common import claim, documents, holds, sub_batches, unused, whole_text
 from tessera.llm.components import components
 from tessera.session import discard, settle, ship, shuffle_partitions
 
@@ -342,8 +342,9 @@ def keep_one(df: DataFrame, k: int = 5) -> DataFrame:
     Five words to a shingle are the rule for stages of a pipeline; four are what the contract of the
     query asks for. One changed word spoils k shingles, so five link a little less than four.
     """
-    gone = near_duplicates(df, k).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = unused(df, "__gone")
+    gone = near_duplicates(df, k).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def scorer(classifier: Classifier):
 
 
 def score_quality(df: DataFrame, classifier: Classifier) -> DataFrame:
-    """``df`` with columns score and predicted.
+    """``df`` with columns score and predicted, in place of any of these names.
 
     Null and empty texts are scored by their structure like others; what resembles no labelled text
     gets the labels' mean, 0.5 without any. Repeated rows get equal scores, other columns pass

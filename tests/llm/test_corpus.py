@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import sys
 import zlib
 
@@ -453,6 +454,65 @@ def test_split_quotas_are_exact(spark):
     each = [sum(r["quotas"]) for r in leaves]
     assert max(each) - min(each) <= 4 and min(min(r["quotas"]) for r in leaves) >= 0
 
+def _spark_hash(*values) -> int:
+    """xxhash64 of int and long values, as Spark chains it."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v, kind in values:
+        seed = xxhash.xxh64_intdigest(struct.pack(kind, v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+def test_taken_and_shards_against_plain_streams(spark):
+    """Each source's stream laid out in plain Python; shards hold disjoint blocks, all of them, of the quotas drawn."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "source", "text").collect()
+    sizes = {d["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or "")) for d in docs}
+    by = {}
+    for d in docs:
+        by.setdefault(d["source"], []).append(d["doc_id"])
+    names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [s for s in by if s is None]
+    total = {s: sum(sizes[i] for i in by[s]) for s in names}
+    target = filled(total, {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}, mixing.REPEATS)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block = max(1, -(-sum(total.values()) // mixing.BLOCKS))
+    taken, blocks = {}, {}
+    for s in names:
+        draw = {i: _spark_hash((mixing.SEED, "<i"), (i, "<q")) for i in by[s]}
+        at = 0
+        for i in sorted(by[s], key=lambda i: (draw[i] % buckets, draw[i], i)):
+            uses = [e for e in range(mixing.REPEATS) if e * total[s] + at + sizes[i] / 2 < target[s]]
+            taken[i] = len(uses) * sizes[i]
+            blocks[i] = [(names.index(s) + 1, min((e * total[s] + at) // block, -(-target[s] // block) - 1)) for e in uses]
+            at += sizes[i]
+    rows = QUERIES["op4_source_mixing"](spark, SF_DIR).collect()
+    assert {r["doc_id"]: r["taken"] for r in rows} == taken
+    placed = mixing.place(spark.read.parquet(f"{SF_DIR}/documents.parquet"), ["doc_id"]).where("shard is not null").collect()
+    got, owner = {}, {}
+    for r in placed:
+        got.setdefault(r["doc_id"], []).append((r["source_no"], r["block"]))
+        assert owner.setdefault((r["source_no"], r["block"]), r["shard"]) == r["shard"]  # a block is in one shard
+    assert {i: sorted(b) for i, b in got.items()} == {i: sorted(b) for i, b in blocks.items() if b}
+    assert {r["doc_id"]: r["shards"] for r in rows} == {i: sorted(owner[b] for b in bs) for i, bs in blocks.items()}
+    quotas = [int(-(-target[s] // block)) for s in names]
+    leaves = mixing.split_quotas(spark.range(1).select(F.array(*(F.lit(q).cast("long") for q in quotas)).alias("quotas")), mixing.SHARDS).collect()
+    for r in leaves:
+        for k, q in enumerate(r["quotas"]):
+            assert len([1 for (no, _), shard in owner.items() if no == k + 1 and shard == r["node"]]) <= q
+
+def test_quotas_of_many_sources(spark):
+    quotas = [(i * 7919) % 23 for i in range(1000)]
+    leaves = mixing.split_quotas(spark.range(1).select(F.array(*(F.lit(q).cast("long") for q in quotas)).alias("quotas")), 8).collect()
+    assert len(leaves) == 8 and [sum(r["quotas"][i] for r in leaves) for i in range(1000)] == quotas
+    each = [sum(r["quotas"]) for r in leaves]
+    assert max(each) - min(each) <= 3 and min(min(r["quotas"]) for r in leaves) >= 0
+    # the share of a run of sources in a shard varies as a hypergeometric draw's does
+    part = [sum(r["quotas"][:500]) for r in leaves]
+    mean = sum(quotas[:500]) / 8
+    deviation = (mean * (1 - sum(quotas[:500]) / sum(quotas)) * 7 / 8) ** 0.5
+    assert all(abs(p - mean) < 5 * deviation for p in part) and len(set(part)) > 1
+
 def test_mixing_of_odd_rows(spark, docs, none):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(none).count() == 0
     clash = docs.withColumns({c: F.lit(1) for c in ("size", "target", "shard", "bucket", "number")})
@@ -464,6 +524,28 @@ def test_mixing_of_odd_rows(spark, docs, none):
     last = placed.loc[placed["source"].isna(), "source_no"].unique()
     assert last.tolist() == [placed["source_no"].max()]  # null sources are one source, the last
 
+CLASHES = "__gone __lang __x0 a b u v node component id n sig set_key key tree kind size block word pool bin offset piece length score predicted lang_pred cell list code".split()
+
+@pytest.mark.parametrize("name", ["op2", "op3", "op6", "op8", "op10", "keep_one", "keep_identified"])
+def test_clashing_columns_change_nothing(spark, docs, name):
+    import public_tokenizers
+
+    crowded = docs
+    for c in CLASHES:
+        crowded = crowded.withColumn(c, F.lit("x"))
+    give = {
+        "op2": lambda d: minhash_dedup.near_duplicates(d).select("doc_id", "n_shingles", "component_id", "kept"),
+        "op3": lambda d: lm_scoring.score_documents(d, public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id") % 7 == 2),
+        "op6": lambda d: language_id.identify(d, {"en": "the of and to", "de": "der die das und"}, "found").select("doc_id", "found.lang_pred", "found.score"),
+        "op8": lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "length", "ids_crc32"),
+        "op10": lambda d: token_counts.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")),
+        "keep_one": lambda d: minhash_dedup.keep_one(d).select("doc_id", "text"),
+        "keep_identified": lambda d: language_id.keep_identified(d).select("doc_id", "text", "lang"),
+    }[name]
+    assert sorted(map(str, give(crowded).collect())) == sorted(map(str, give(docs).collect()))
+    if name.startswith("keep"):
+        assert set(CLASHES) < set({"keep_one": minhash_dedup.keep_one, "keep_identified": language_id.keep_identified}[name](crowded).columns)
+
 def test_quality_held_out(spark):
     sf = SF_DIR.replace("sf0.001", "sf0.01")
     rows = QUERIES["op1_quality"](spark, sf).toPandas()
