@@ -84,8 +84,7 @@ def frame(spark, docs):
     return spark.createDataFrame([tuple(d[c.split()[0]] for c in SCHEMA.split(", ")) for d in docs], SCHEMA)
 
 
-@pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("fanout, rows", [(16, 250_000), (16, 37), (3, 10)])
+@pytest.mark.parametrize("name, fanout, rows", [("lone", 16, 250_000), ("fanout and one more", 16, 37), ("powers", 16, 37), ("powers", 3, 10), ("hot", 16, 250_000), ("hot", 3, 10)])
 def test_proofs_against_plain_recursion(spark, monkeypatch, name, fanout, rows):
     monkeypatch.setattr(merkle, "ROWS", rows)  # many partitions, whose ends fall anywhere
     docs = docs_of(CASES[name])
