@@ -19,6 +19,11 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     return rows.withColumn("link", urls.resolve(url, "href"))
 
 
+def inbound(links: DataFrame) -> DataFrame:
+    """link and pages: how many pages name each resolved address, each page once."""
+    return links.where("link is not null").groupBy("link").agg(F.count_distinct("page_id").alias("pages"))
+
+
 def same_site(url, base) -> Column:
     """Whether an address is http or https and has the base's host and port."""
     u = col(url)

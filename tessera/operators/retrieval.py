@@ -15,7 +15,7 @@ from tessera.functions.scalars import col, let
 from tessera.functions.text import words
 from tessera.functions.vector import cosine, vector
 from tessera.plans.config import RetrievalConfig
-from tessera.session import ship
+from tessera.session import settle, ship
 
 #: Bytes of queries that are broadcast to one scan of the vectors; rows, and queries, of one product.
 QUERY_BYTES, STRETCH, TILE = 64 << 20, 32_768, 128
@@ -150,13 +150,14 @@ def _is(term: str):
 def bm25(docs: DataFrame, query: str | Sequence[str], cfg: RetrievalConfig | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and bm25 of documents with at least one query term.
 
-    Only counts of the query's own terms leave the scan: no token is shuffled.
+    Only counts of the query's own terms leave the scan, once: no token is shuffled, and texts are read
+    a single time for the totals and the scores.
     """
     cfg = cfg or RetrievalConfig()
     terms = sorted(set([query] if isinstance(query, str) else query))
     one = docs.select(id_col, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     tf = [F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = one.select(id_col, F.size("w").alias("len"), *tf)
+    counted = settle(one.select(id_col, F.size("w").alias("len"), *tf))
     totals = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))
     )

@@ -82,6 +82,17 @@ def file_sizes(files: DataFrame, kind: str = "filetype", size: str = "length") -
     return each.join(F.broadcast(whole)).select("filetype", "files", "total", "mean", (F.col("files") / F.col("n")).alias("share"))
 
 
+def batch_size(files: DataFrame, memory_gb: float = 8.0, kind: str = "filetype", size: str = "length") -> DataFrame:
+    """batch: how many files to take at a time, one row. Half as many where files are large (over 10 MB on
+    average) or mostly PDFs, twice as many where they are small (up to 1 MB) and few are; 10 without files."""
+    base = 2 if memory_gb < 2 else 4 if memory_gb < 4 else 8
+    mean, pdfs = F.avg(size) / (1 << 20), F.avg((F.lower(F.ltrim(F.col(kind), F.lit("."))) == "pdf").cast("int"))
+    seen = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(pdfs, F.lit(0.0)).alias("pdfs"))
+    heavy, middling = (F.col("mean") > 10) | (F.col("pdfs") > 0.7), (F.col("mean") > 1) | (F.col("pdfs") > 0.3)
+    batch = F.when(F.col("n") == 0, 10).when(heavy, max(2, base // 2)).when(middling, max(4, base)).otherwise(max(6, 2 * base))
+    return seen.select(batch.alias("batch"))
+
+
 def lookup(asked: DataFrame, cache: DataFrame, key: str, value: str, computed=None, now=None, ttl_hours: float | None = None, at: str = "fetched_at") -> DataFrame:
     """``asked`` with hit and value: the cached one if there is a fresh one, else ``computed``.
 

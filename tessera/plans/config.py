@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -45,9 +46,14 @@ class ChatConfig:
     gate: bool = True
     retrieve_with_history: bool = False
     validate: bool = True
+    provider: str = "none"
     system_message: str = "You are a helpful assistant. Use the following context and conversation history to answer the question."
 
 
+    def __post_init__(self):
+        object.__setattr__(self, "provider", self.provider.lower())
+
+
 @dataclass(frozen=True)
 class KeywordConfig:
     per_document: int = 10
@@ -77,9 +83,38 @@ class EngineConfig:
     centroid: CentroidConfig = field(default_factory=CentroidConfig)
 
 
+#: Earlier names of settings, by the section they are in.
+EARLIER = {KeywordConfig: {"extraction_diversity": "diversity", "final_top_n": "final", "top_n_per_doc": "per_document"}, CentroidConfig: {"centroid_diversity": "diversity"}}
+
+
+def _renamed(values: dict[str, Any], kind) -> dict[str, Any]:
+    """Settings under their present names; an earlier name that is given, and isn't null, goes before the present one.
+
+    min_doc_freq is a number of documents, or a share of them where min_doc_freq_mode says `fraction`.
+    """
+    out = dict(values)
+    for old, new in EARLIER.get(kind, {}).items():
+        if (value := out.pop(old, None)) is not None:
+            out[new] = value
+    if kind is KeywordConfig:
+        mode, least = out.pop("min_doc_freq_mode", "absolute"), out.pop("min_doc_freq", None)
+        if mode not in ("absolute", "fraction"):
+            raise ValueError(f"unknown min_doc_freq_mode {mode!r}")
+        if least is not None:
+            out["least_documents" if mode == "absolute" else "least_fraction"] = least if mode == "absolute" else float(least)
+    return out
+
+
+def with_keys(cfg: EngineConfig, keys: Mapping[str, str]) -> EngineConfig:
+    """The configuration with its provider, if ``keys`` (an environment, say) has one under PROVIDER_API_KEY, else with none."""
+    if cfg.chat.provider == "none" or keys.get(f"{cfg.chat.provider.upper()}_API_KEY"):
+        return cfg
+    return dataclasses.replace(cfg, chat=dataclasses.replace(cfg.chat, provider="none"))
+
+
 def from_mapping(values: dict[str, Any], kind=EngineConfig):
-    """A configuration from nested mappings; unknown names raise."""
-    fields = {f.name: f for f in dataclasses.fields(kind)}
+    """A configuration from nested mappings; unknown names raise, earlier ones count."""
+    fields, values = {f.name: f for f in dataclasses.fields(kind)}, _renamed(values, kind)
     if unknown := sorted(set(values) - set(fields)):
         raise ValueError(f"unknown settings: {', '.join(unknown)}")
     out = {}

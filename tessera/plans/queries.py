@@ -396,6 +396,11 @@ def _(p):
     return links.page_links(p).select("page_id", "href", "link")
 
 
+@query("inbound_links", "pages", sql=f"WITH {_LINKS} SELECT link, count(DISTINCT page_id) AS pages FROM (SELECT page_id, {web_sql.resolve('url', 'href')} AS link FROM l) WHERE link IS NOT NULL GROUP BY link")
+def _(p):
+    return links.inbound(links.page_links(p))
+
+
 @query("page_same_site", "pages", sql=f"""WITH {_LINKS} SELECT page_id, href, coalesce(regexp_extract(href, '^(https?)://([^/?#]*)', 2) = regexp_extract(url, '^(https?)://([^/?#]*)', 2) AND regexp_matches(href, '^https?://'), false) AS same_site FROM l""")
 def _(p):
     return links.page_links(p).select("page_id", "href", links.same_site("href", F.try_parse_url("url", F.lit("AUTHORITY"))).alias("same_site"))
@@ -595,6 +600,7 @@ def _(d):
     model = Features.fit(d)
     if model is None:
         return d.select("doc_id", F.lit(None).cast("array<double>").alias("features")).limit(0)
+    # components are known up to their sign
     return model.transform(d).select("doc_id", F.transform("features", lambda x: F.abs(F.round(x, 6))).alias("features"))
 
 

@@ -192,3 +192,42 @@ def test_percentages_and_least_documents(spark):
     assert one(spark, scalars.least_documents(F.lit(101), fraction=0.05)) == 6 and one(spark, scalars.least_documents(F.lit(101), absolute=3, fraction=0.5)) == 3
     assert one(spark, scalars.age_seconds(F.lit("2024-04-30 23:59:00").cast("timestamp"), now())) == 60
     assert one(spark, scalars.iso_utc(now())) == "2024-05-01T00:00:00Z"
+
+
+def test_batch_sizes(spark):
+    def batch(rows, **k):
+        return store.batch_size(spark.createDataFrame(rows, "filetype string, length long"), **k).collect()[0]["batch"]
+
+    small, large = 1000, 11 << 20
+    assert batch([(".txt", small)] * 4) == 16 and batch([(".txt", small)] * 4, memory_gb=1) == 6 and batch([(".txt", small)], memory_gb=3) == 8
+    assert batch([(".txt", large)]) == 4 and batch([(".PDF", small)] * 3 + [(".txt", small)]) == 4 and batch([(".pdf", large)], memory_gb=1) == 2
+    assert batch([(".pdf", small), (".txt", small)]) == 8 and batch([("txt", 2 << 20)], memory_gb=3) == 4
+    assert batch([]) == 10
+
+
+def test_earlier_names_of_settings():
+    from tessera.plans import config
+
+    cfg = config.from_mapping({"keywords": {"extraction_diversity": 0.5, "diversity": 0.1, "min_doc_freq": 3}, "centroid": {"centroid_diversity": 0.2}, "chat": {"provider": "DeepSeek"}})
+    assert (cfg.keywords.diversity, cfg.keywords.least_documents, cfg.centroid.diversity, cfg.chat.provider) == (0.5, 3, 0.2, "deepseek")
+    share = config.from_mapping({"keywords": {"min_doc_freq": 1, "min_doc_freq_mode": "fraction", "extraction_diversity": None, "diversity": 0.4}})
+    assert (share.keywords.least_fraction, share.keywords.least_documents, share.keywords.diversity) == (1.0, None, 0.4)
+    with pytest.raises(ValueError, match="min_doc_freq_mode"):
+        config.from_mapping({"keywords": {"min_doc_freq_mode": "some"}})
+    with pytest.raises(ValueError, match="unknown settings"):
+        config.from_mapping({"chat": {"extraction_diversity": 1}})
+    assert config.with_keys(cfg, {}).chat.provider == "none" and config.with_keys(cfg, {"DEEPSEEK_API_KEY": "x"}) == cfg
+    assert config.with_keys(cfg, {"DEEPSEEK_API_KEY": ""}).chat.provider == "none" and config.with_keys(config.EngineConfig(), {}).chat.provider == "none"
+
+
+def test_schema_of_collections(spark):
+    from tessera.operators import catalog
+
+    tables = {"a": spark.createDataFrame([], "id long, v array<double>"), "b": spark.createDataFrame([], "t timestamp")}
+    assert sorted(tuple(r) for r in catalog.schema_listing(spark, tables).collect()) == [("a", "id", "bigint"), ("a", "v", "array<double>"), ("b", "t", "timestamp")]
+
+
+def test_properties_are_coerced(spark):
+    rows = spark.createDataFrame([("t", None, "7", 1), (None, "s", "x", 2)], "text string, source string, page string, n int")
+    got = [tuple(r) for r in store.properties(rows, ["n"]).orderBy("n").collect()]
+    assert got == [("t", "unknown", "unknown", 7, 1), ("", "s", "unknown", 0, 2)]
