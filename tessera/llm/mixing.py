@@ -193,10 +193,15 @@ def place(df: DataFrame, keep: list[str], shards: int = SHARDS, blocks: int = BL
     return rows.select(*back, "size", "source_size", "target", "use", "shard", "block", order.alias("order"), "source_no", "bucket", "row")
 
 
-def mix(df: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mixed rows of ``df``, columns as they are, one partition a shard, each shuffled."""
+def mix(df: DataFrame, shards: int | None = None) -> DataFrame:
+    """The mixed rows of ``df``, columns as they are, one partition a shard, each shuffled.
+
+    Without a number (a power of two) there are as many shards as shuffle partitions, rounded up, so
+    that a shard is as large as partitions are for the input; which rows are taken doesn't depend on it.
+    """
+    shards = shards or 1 << (shuffle_partitions(df.sparkSession) - 1).bit_length()
     inner = df.toDF(*(c if c in ("doc_id", "source", "text") else f"__x{i}" for i, c in enumerate(df.columns)))
-    placed = place(inner, inner.columns, shards).where(F.col("shard").isNotNull())
+    placed = place(inner, inner.columns, shards, max(BLOCKS, 16 * shards)).where(F.col("shard").isNotNull())
     out = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "order")
     return out.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(inner.columns, df.columns, strict=True)))
 
