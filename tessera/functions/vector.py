@@ -54,6 +54,9 @@ def hashed_vector(tokens, dim: int = 64) -> Column:
     return F.element_at(F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm(v)), F.lit(0.0)))), 1)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def letter_vector(text) -> Column:
     """A deterministic stand-in for an embedding model: how often each letter from a to z occurs."""
-    return F.array(*((F.length(col(text)) - F.length(F.replace(col(text), F.lit(c)))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+    return F.array(*((F.length(col(text)) - F.length(F.replace(col(text), F.lit(c)))).cast("double") for c in LETTERS))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import REJECTED_TERMS
 from tessera.functions.scalars import col, let
 from tessera.functions.text import ngrams, words
-from tessera.functions.vector import dot, letter_vector, norm
-from tessera.operators.retrieval import mmr_order
-from tessera.session import settle
+from tessera.functions.vector import LETTERS, dot, letter_vector, norm
+from tessera.session import settle, ship
 
 #: Most distinct words whose document frequencies are broadcast.
 BROADCAST_TERMS = 200_000
@@ -44,28 +48,137 @@ def aggregate(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.max("score").alias("max_score"), F.count(F.lit(1)).alias("doc_freq"))
 
 
+def _phrase_words(text: str, stop_words: list[str] | None) -> Column:
+    """The words that runs are formed of: two letters or more, no stop words."""
+    return F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda x: (F.length(x) > 1) & (~x.isin(*stop_words) if stop_words else F.lit(True)))
+
+
 def phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None, most: int = 3, carry: list[str] | None = None) -> DataFrame:
     """id, columns ``carry`` and term: the distinct runs of one to ``most`` words of a document. Stop words
     go before runs are formed. A document is one row throughout, so nothing is shuffled."""
-    w = F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda x: (F.length(x) > 1) & (~x.isin(*stop_words) if stop_words else F.lit(True)))
-    return docs.select(id_col, *(carry or []), F.explode(F.array_distinct(ngrams(w, 1, most))).alias("term"))
+    return docs.select(id_col, *(carry or []), F.explode(F.array_distinct(ngrams(_phrase_words(text, stop_words), 1, most))).alias("term"))
+
+
+def _letters(tokens: list[str]) -> np.ndarray:
+    """How often each of LETTERS occurs in each token; tokens hold no space."""
+    raw = np.frombuffer(" ".join(tokens).encode("utf-8", "replace"), "u1")
+    token, place = np.cumsum(raw == 32), raw.astype("i8") - ord("a")
+    known = (place >= 0) & (place < len(LETTERS))
+    return np.bincount(token[known] * len(LETTERS) + place[known], minlength=len(tokens) * len(LETTERS)).reshape(-1, len(LETTERS)).astype(float)
 
 
-def key_phrases(docs: DataFrame, embed=letter_vector, n: int = 5, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+def _nearest_runs(tokens: list[str], each: np.ndarray, whole: np.ndarray, n: int, most: int) -> tuple[list[str], list[float | None]]:
+    """The n distinct runs of one to ``most`` tokens that are most like ``whole``; ``each`` are the tokens' letters.
+
+    A run's letters are the sum of its words', and all are whole numbers: the cosine is that of ``letter_vector``.
+    """
+    size, run, score, start, long = math.sqrt(whole @ whole), each, [], [], []
+    for k in range(1, min(most, len(tokens)) + 1):
+        run = run if k == 1 else run[:-1] + each[k - 1 :]
+        by = np.sqrt(np.einsum("ij,ij->i", run, run)) * size
+        score.append(np.divide(run @ whole, by, out=np.full(len(run), -1.0), where=by > 0))  # -1: no letters, no score
+        start.append(np.arange(len(run)))
+        long.append(np.full(len(run), k))
+    if not score:
+        return [], []
+    score, start, long = map(np.concatenate, (score, start, long))
+    order = np.argsort(-score, kind="stable")
+    ends = [*(np.flatnonzero(np.diff(score[order])) + 1).tolist(), len(order)]
+    terms, scores, a = [], [], 0
+    for b in ends:  # equal runs have equal scores
+        at = order[a:b]
+        same = sorted({" ".join(tokens[i : i + k]) for i, k in zip(start[at].tolist(), long[at].tolist(), strict=True)})
+        terms += same
+        scores += [None if score[at[0]] < 0 else float(score[at[0]])] * len(same)
+        a = b
+        if len(terms) >= n:
+            break
+    return terms[:n], scores[:n]
+
+
+def _by_letters(n: int, most: int):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for tokens, whole in batches:
+            lists = [t.tolist() for t in tokens]
+            found = [_nearest_runs(t, _letters(t), _letters([w.replace(" ", "")])[0], n, most) for t, w in zip(lists, whole, strict=True)]
+            yield pd.DataFrame({"term": [f[0] for f in found], "score": [f[1] for f in found]})
+
+    return F.pandas_udf(run, "term array<string>, score array<double>")
+
+
+def _best_of_batches(n: int, id_col: str):
+    """A document's rows follow one another, so what a batch keeps of it is all but n rows a document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.sort_values(["score", "term"], ascending=[False, True], na_position="last").groupby(id_col, sort=False, dropna=False).head(n)
+
+    return run
+
+
+def key_phrases(docs: DataFrame, embed=letter_vector, n: int = 5, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None, most: int = 3) -> DataFrame:
     """id, rank, term and score: the n phrases of each document that are most like it, by the cosine of
-    their vectors under ``embed``, a function of a text column; ties by term."""
-    whole = docs.withColumn("__v", embed(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    found = phrases(whole.withColumn("__n", norm("__v")), id_col, text, stop_words, carry=["__v", "__n"])
-    like = let(embed(F.col("term")), lambda v: F.try_divide(dot(v, "__v"), norm(v) * F.col("__n")))
-    return top_per_document(found.select(id_col, "term", like.alias("score")), n, id_col)
+    their vectors under ``embed``, a function of a text column; ties by term.
+
+    A document's phrases are scored and cut to n before anything is shuffled: within its row for
+    ``letter_vector``, whose vectors of phrases are sums of their words', and batch by batch for another.
+    """
+    ship(docs.sparkSession)
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if embed is letter_vector:
+        best = docs.select(id_col, _by_letters(n, most)(_phrase_words(text, stop_words), lower).alias("b"))
+        found = best.select(id_col, F.inline(F.arrays_zip("b.term", "b.score")))
+    else:
+        whole = docs.withColumn("__v", embed(lower))
+        scored = phrases(whole.withColumn("__n", norm("__v")), id_col, text, stop_words, most, ["__v", "__n"])
+        like = let(embed(F.col("term")), lambda v: F.try_divide(dot(v, "__v"), norm(v) * F.col("__n")))
+        scored = scored.select(id_col, "term", like.alias("score"))
+        found = scored.mapInPandas(_best_of_batches(n, id_col), scored.schema)
+    return top_per_document(found, n, id_col)
+
+
+def _likeness(vectors: list) -> np.ndarray:
+    """The cosines of all pairs; 0 for what has no direction, and between vectors of unlike length."""
+    out = np.zeros((len(vectors), len(vectors)))
+    sizes = np.array([0 if v is None else len(v) for v in vectors])
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        rows = np.stack([vectors[i] for i in at]).astype(float)
+        long = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        by = long[:, None] * long
+        out[np.ix_(at, at)] = np.divide(rows @ rows.T, by, out=np.zeros_like(by), where=by > 0)
+    return np.nan_to_num(out, nan=0.0)
+
+
+def _chosen(score: np.ndarray, like: np.ndarray, n: int, weight: float) -> list[int]:
+    """n places by maximal marginal relevance; of equal gains the first, rows without a score last."""
+    out, apart = [], None
+    for _ in range(min(n, len(score))):
+        gain = score if apart is None else weight * score - (1 - weight) * apart
+        gain = np.where(np.isnan(gain), -1e300, gain)
+        gain[out] = -np.inf
+        i = int(gain.argmax())
+        out.append(i)
+        apart = like[i] if apart is None else np.maximum(apart, like[i])
+    return out
+
+
+def _diverse(n: int, weight: float):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for terms, scores, vectors in batches:
+            yield pd.Series([[t[i] for i in _chosen(np.asarray(s, float), _likeness(list(v)), n, weight)] for t, s, v in zip(terms, scores, vectors, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")
 
 
 def diverse(terms: DataFrame, embed=letter_vector, n: int = 5, diversity: float = 0.3, id_col: str = "doc_id") -> DataFrame:
     """id, rank and term: of each document's scored phrases (a bounded list) n by maximal marginal
     relevance, where ``diversity`` weighs likeness to those chosen before."""
+    ship(terms.sparkSession)
     item = F.struct((-F.col("score")).alias("s"), F.col("term").alias("id"), F.col("score").alias("similarity"), F.col("v").alias("vector"))
     listed = terms.withColumn("v", embed(F.col("term"))).groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    return listed.select(id_col, F.posexplode(mmr_order("c", n, 1 - diversity)).alias("p", "term")).select(id_col, (F.col("p") + 1).alias("rank"), "term")
+    picked = listed.select(id_col, _diverse(n, 1 - diversity)(F.col("c.id"), F.col("c.similarity"), F.col("c.vector")).alias("picked"))
+    return picked.select(id_col, F.posexplode("picked").alias("p", "term")).select(id_col, (F.col("p") + 1).alias("rank"), "term")
 
 
 def rejection(term, doc_freq, least_documents: int, least_length: int = 3) -> Column:

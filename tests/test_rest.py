@@ -177,6 +177,21 @@ def test_words_are_taken_once(spark):
     assert keywords.tfidf(docs).count() == 2
 
 
+def test_key_phrases_are_cut_before_they_move(spark):
+    from tessera.functions.vector import letter_vector
+
+    texts = ["pump valve pump", "ab ba abab ab", "the the the", "насос 12 34", "a b", "", None, "Straße straße STRASSE", " ".join(f"w{i % 7}x" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ours = keywords.key_phrases(docs, n=4, stop_words=["the"])
+    assert "array_distinct" not in ours._jdf.queryExecution().executedPlan().toString()  # phrases are not rows
+    other = keywords.key_phrases(docs, lambda t: letter_vector(t), n=4, stop_words=["the"])
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert rows(ours) == rows(other) and ours.where("doc_id = 3").count() == 4
+    plan = other._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning") < plan.index("MapInPandas")  # cut below the exchange
+    assert {tuple(r) for r in keywords.diverse(ours, n=1).select("doc_id", "rank", "term").collect()} == {(r["doc_id"], 1, r["term"]) for r in ours.where("rank = 1").collect()}
+
+
 def test_clusters_of_terms(spark):
     terms = ["pump valve", "pump pressure", "valve pressure", "bread oven", "oven heat", "bread heat"]
     df = spark.createDataFrame([(t,) for t in terms] + [("",), ("...",)], "term string")
