@@ -10,10 +10,12 @@ import hashlib
 import math
 import time
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -63,18 +65,83 @@ class HashedNgrams:
     most: int = 5
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str) -> list[float]:
-        out = [0.0] * self.dim
-        for word in text.lower().split():
-            framed = f"<{word}>"
-            grams = {framed} | {framed[i : i + n] for n in range(self.least, self.most + 1) for i in range(len(framed) - n + 1)}
-            for gram in grams:
-                h = zlib.crc32(gram.encode("utf-8", "replace"))
-                out[h % self.dim] += 1.0 if h & 0x80000000 else -1.0
-        size = math.sqrt(sum(x * x for x in out))
-        return [x / size for x in out] if size else out
+        number: dict[str, int] = {}  # the words of all texts, which share many, are hashed once
+        text, word, times = [], [], []
+        for i, t in enumerate(texts):
+            counted = Counter(t.lower().split())
+            text += [i] * len(counted)
+            word += [number.setdefault(w, len(number)) for w in counted]
+            times += counted.values()
+        text, word, times = (np.array(x, "i8") for x in (text, word, times))
+        order = np.argsort(word, kind="stable")
+        text, word, times = text[order], word[order], times[order]
+        out = np.zeros((len(texts), self.dim))
+        for begin, words in _stretches(list(number)):
+            of, h = _grams(words, self.least, self.most)
+            starts = np.searchsorted(of, np.arange(len(words) + 1))
+            here = slice(*np.searchsorted(word, (begin, begin + len(words))))
+            first, many = starts[word[here] - begin], np.diff(starts)[word[here] - begin]
+            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            signed = np.where(h[at] & 0x80000000, 1.0, -1.0) * np.repeat(times[here], many)
+            out += np.bincount(np.repeat(text[here], many) * self.dim + h[at] % self.dim, signed, out.size).reshape(out.shape)
+        size = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]  # whole numbers: sums are exact in any order
+        return np.divide(out, size, out=out, where=size > 0).tolist()
+
+
+#: Characters of words that are hashed together.
+HASHED = 50_000
+_CRC = np.arange(256, dtype="i8")
+for _ in range(8):
+    _CRC = (_CRC >> 1) ^ np.where(_CRC & 1, 0xEDB88320, 0)
+
+
+def _stretches(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+    begin = chars = 0
+    for i, w in enumerate(words):
+        if i > begin and chars + len(w) > HASHED:
+            yield begin, words[begin:i]
+            begin, chars = i, 0
+        chars += len(w)
+    if words:
+        yield begin, words[begin:]
+
+
+def _grams(words: list[str], least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, CRC-32 in UTF-8) of each word's distinct grams, and of the framed word itself, by word."""
+    framed = [f"<{w}>" for w in words]
+    code = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
+    plain, code = code, np.where((code >= 0xD800) & (code < 0xE000), ord("?"), code)
+    size = np.array([len(f) for f in framed])
+    of, left = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size) - np.arange(len(code))
+    wide = (code >= 0x80).astype("i8") + (code >= 0x800) + (code >= 0x10000)  # bytes after the first
+    lead = np.array([0, 0xC0, 0xE0, 0xF0])[wide] | (code >> (6 * wide))
+    state, found = np.full(len(code), 0xFFFFFFFF), []
+    keys = np.zeros((-(-most // 3), len(code)), "i8")  # three characters each
+    for n in range(1, most + 1):
+        go = np.flatnonzero(left >= n)
+        at = go + n - 1
+        state[go] = _CRC[(state[go] ^ lead[at]) & 0xFF] ^ (state[go] >> 8)
+        for k in range(1, 4):
+            more = wide[at] >= k
+            if not more.any():
+                break
+            g, c = go[more], at[more]
+            byte = 0x80 | ((code[c] >> (6 * (wide[c] - k))) & 0x3F)
+            state[g] = _CRC[(state[g] ^ byte) & 0xFF] ^ (state[g] >> 8)
+        keys[(n - 1) // 3, go] = (keys[(n - 1) // 3, go] << 21) | (plain[at] + 1)
+        if n >= least and len(go):
+            tag = (of[go] << 32) | state[go]
+            order = np.argsort(tag)
+            tag, order = tag[order], go[order]
+            new = np.ones(len(order), bool)
+            twin = np.flatnonzero(tag[1:] == tag[:-1])  # the same gram, if its characters are
+            new[twin + 1] = (keys[:, order[twin + 1]] != keys[:, order[twin]]).any(0)
+            found.append((of[order[new]], state[order[new]] ^ 0xFFFFFFFF))
+    whole = np.flatnonzero((size < least) | (size > most))
+    found.append((whole, np.array([zlib.crc32(framed[i].encode("utf-8", "replace")) for i in whole], "i8")))
+    word, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(word, kind="stable")
+    return word[order], h[order]
 
 
 _LOADED: dict[str, tuple[str, object]] = {}

@@ -3,6 +3,7 @@
 import math
 import os
 import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -116,6 +117,22 @@ def test_terms_by_their_kind(spark):
     assert sorted(r["term"] for r in models.of_kinds(terms, Words, kinds=["VERB"], calls=QUICK).collect()) == ["run", "run pump"]
 
 
+def test_hashed_grams_against_plain_python(monkeypatch):
+    monkeypatch.setattr(models, "HASHED", 20)
+    texts = ["", " ", "a a a", "aaaaaaa aaaaaa ab", "Ünïcode 漢字漢字漢字 😀😀😀😀 \ud800x \udfff?", "x" * 300 + " y", "<a> <<>> >", "pump valve pump"]
+    for model in (HashedNgrams(), HashedNgrams(7, 1, 2), HashedNgrams(32, 2, 8)):
+        got = model.embed(texts)
+        assert model.embed([]) == []
+        for text, vector in zip(texts, got, strict=True):
+            out = [0.0] * model.dim
+            for f in (f"<{w}>" for w in text.lower().split()):
+                for gram in {f} | {f[i : i + n] for n in range(model.least, model.most + 1) for i in range(len(f) - n + 1)}:
+                    h = zlib.crc32(gram.encode("utf-8", "replace"))
+                    out[h % model.dim] += 1.0 if h & 0x80000000 else -1.0
+            size = math.sqrt(sum(x * x for x in out))
+            assert vector == ([x / size for x in out] if size else out)
+
+
 def test_key_phrases_by_a_model(spark):
     from tessera.operators import keywords
 
