@@ -229,7 +229,8 @@ def clusters(terms: DataFrame, k: int = 4, seed: int = 42, features: int = 256)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
-    split = terms.select("term", words("term").alias("w")).where(F.size("w") > 0)
+    # a table of its own: every pass of the fits would work the terms out of the documents again
+    split = settle(terms.select("term", words("term").alias("w")).where(F.size("w") > 0))
     n = split.limit(k).count()
     if n < 2:
         return split.select("term", F.lit(0).alias("cluster"))
