@@ -93,15 +93,15 @@ def batch_size(files: DataFrame, memory_gb: float = 8.0, kind: str = "filetype",
     return seen.select(batch.alias("batch"))
 
 
-def lookup(asked: DataFrame, cache: DataFrame, key: str, value: str, computed=None, now=None, ttl_hours: float | None = None, at: str = "fetched_at") -> DataFrame:
+def lookup(asked: DataFrame, cache: DataFrame, key: str, value: str, computed=None, now=None, ttl_hours: float | None = None, at: str = "fetched_at", order=None) -> DataFrame:
     """``asked`` with hit and value: the cached one if there is a fresh one, else ``computed``.
 
-    A key that was written several times gives its newest value.
+    A key that was written several times gives its newest value, or its greatest by ``order``, a column of the cache.
     """
     known = cache.where(F.col(key).isNotNull())
     if ttl_hours is not None:
         known = known.where(F.unix_timestamp(now) - F.unix_timestamp(at) <= ttl_hours * 3600)
-    newest = known.groupBy(key).agg(F.max_by(value, at).alias("__cached"), F.lit(True).alias("__hit"))
+    newest = known.groupBy(key).agg(F.max_by(value, at if order is None else order).alias("__cached"), F.lit(True).alias("__hit"))
     out = asked.join(newest, key, "left")
     fallback = F.lit(None) if computed is None else col(computed)
     return out.withColumn("hit", F.coalesce("__hit", F.lit(False))).withColumn(value, F.when(F.col("hit"), F.col("__cached")).otherwise(fallback)).drop("__cached", "__hit")

@@ -192,6 +192,20 @@ def test_key_phrases_are_cut_before_they_move(spark):
     assert {tuple(r) for r in keywords.diverse(ours, n=1).select("doc_id", "rank", "term").collect()} == {(r["doc_id"], 1, r["term"]) for r in ours.where("rank = 1").collect()}
 
 
+def test_cached_pages_of_one_address(spark, tmp_path):
+    from oracle import same, sql_rows
+
+    from tessera.plans.queries import QUERIES, SQL, TABLES
+
+    pages = [(1, "u", "old"), (49, "u", "last but one"), (95, "u", None), (73, "u", "last"), (50, "u", None), (4, "v", None), (5, None, "no address"), (8, None, None), (30, "w", "stale")]
+    for name in TABLES:
+        df = spark.createDataFrame(pages, "page_id long, url string, html string") if name == "pages" else spark.range(1)
+        df.coalesce(1).write.parquet(str(tmp_path / "d" / name))
+        part = next((tmp_path / "d" / name).glob("*.parquet"))
+        part.rename(tmp_path / f"{name}.parquet")
+    same(QUERIES["cache_lookup"](spark, str(tmp_path)).toPandas(), sql_rows(SQL["cache_lookup"], str(tmp_path)))
+
+
 def test_clusters_of_terms(spark):
     terms = ["pump valve", "pump pressure", "valve pressure", "bread oven", "oven heat", "bread heat"]
     df = spark.createDataFrame([(t,) for t in terms] + [("",), ("...",)], "term string")
