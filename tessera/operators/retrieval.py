@@ -17,8 +17,9 @@ from tessera.functions.vector import cosine, vector
 from tessera.plans.config import RetrievalConfig
 from tessera.session import settle, ship
 
-#: Bytes of queries that are broadcast to one scan of the vectors; rows, and queries, of one product.
-QUERY_BYTES, STRETCH, TILE = 64 << 20, 32_768, 128
+#: Bytes of queries that are broadcast to one scan of the vectors; rows, and queries, of one product; candidates
+#: that are cut to the best together.
+QUERY_BYTES, STRETCH, TILE, FOUND = 8 << 20, 8192, 128, 1 << 18
 
 
 def top_k(df: DataFrame, query: Sequence[float], k: int = 6, id_col: str = "vec_id", embedding: str = "embedding", threshold: float | None = None) -> DataFrame:
@@ -34,19 +35,24 @@ def top_k_batch(df: DataFrame, queries: DataFrame, k: int = 6, id_col: str = "ve
     """query_id, id, similarity and rank: the k nearest rows of each of a set of queries (query_id, query array).
 
     The queries travel to the scan, as many at a time as QUERY_BYTES hold, by a hash of their id; a worker
-    multiplies them with stretches of vectors and keeps k of each stretch, so little reaches the
-    shuffle. Every pair's product is summed in the same order, so equal vectors tie and go by id. Null, zero
+    multiplies them with stretches of vectors and keeps k of each query in all, so little is held and
+    little reaches the shuffle. Every pair's product is summed in the same order, so equal vectors tie and go by id. Null, zero
     and non-finite vectors, on either side, and those of another length never match.
     """
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
     asked = queries.select("query_id", vector("query").alias("query")).where("query is not null")
-    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
-    blocks = max(1, -(-n * 8 * (dim or 1) // QUERY_BYTES))
+    return nearest(df.select(id_col, vector(embedding).alias("v")), asked, k, id_col)
+
+
+def nearest(rows: DataFrame, asked: DataFrame, k: int, id_col: str) -> DataFrame:
+    """query_id, id, similarity and rank, from rows (id, v) and asked (query_id, query). With a column lists of
+    asked, a query meets only the rows whose list is among its own."""
+    sc, listed = rows.sparkSession.sparkContext, "lists" in asked.columns
+    size = 8 * F.coalesce(F.size("query"), F.lit(0)) + (4 * F.size("lists") if listed else 0)
+    blocks = max(1, -(-(asked.agg(F.sum(size)).first()[0] or 0) // QUERY_BYTES))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    rows = df.select(id_col, vector(embedding).alias("v"))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{id_col}` {df.schema[id_col].dataType.simpleString()}, similarity double"
-    found = [rows.mapInArrow(_nearest(spark.sparkContext.broadcast(asked.where(block == i).toArrow()), k, id_col), schema) for i in range(blocks)]
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, `{id_col}` {rows.schema[id_col].dataType.simpleString()}, similarity double"
+    found = [rows.mapInArrow(_nearest(sc.broadcast(asked.where(block == i).toArrow()), k, id_col, listed), schema) for i in range(blocks)]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col(id_col)))
     return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -65,40 +71,86 @@ def _matrix(lists: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray, np.nda
     return out
 
 
-def _nearest(sent, k: int, id_col: str):
-    """Of each stretch of rows (id, v), the k nearest of each of the broadcast queries."""
+def _by_list(lists: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The queries of each list."""
+    lists = lists.combine_chunks()
+    of, which = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    order = np.argsort(which, kind="stable")
+    known, first = np.unique(which[order], return_index=True)
+    return dict(zip(known.tolist(), np.split(of[order], first[1:]), strict=True)) if len(known) else {}
+
+
+class _Best:
+    """The k best rows of each query so far."""
+
+    def __init__(self, queries: int, k: int, kind: pa.DataType):
+        self.k, self.floor = k, np.full(queries, -np.inf)  # what a row has to reach
+        self.query, self.like, self.ids = np.zeros(0, "i8"), np.zeros(0), pa.array([], kind)
 
-    def within(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = table[id_col].combine_chunks()
+    def add(self, query: np.ndarray, like: np.ndarray, ids: pa.Array) -> None:
+        query, like = np.concatenate([self.query, query]), np.concatenate([self.like, like])
+        ids = pa.concat_arrays([self.ids, ids])
         place = np.empty(len(ids), "i8")
         place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
-        known = {v.shape[1]: (at, v, length) for at, v, length in _matrix(table["v"])}
-        names = sent.value["query_id"].combine_chunks()
-        for asked, q, size in _matrix(sent.value["query"]):
-            at, v, length = known.get(q.shape[1], (np.zeros(0, "i8"),) * 3)
-            for a in range(0, len(asked) if len(at) else 0, TILE):
-                like = np.einsum("ik,jk->ij", q[a : a + TILE], v, optimize=False) / (size[a : a + TILE, None] * length)
-                if len(at) > k:
-                    i, j = np.nonzero(like >= np.partition(like, len(at) - k, axis=1)[:, len(at) - k, None])
-                else:
-                    i, j = (x.ravel() for x in np.indices(like.shape))
-                order = np.lexsort((place[at[j]], -like[i, j], i))
-                i, j = i[order], j[order]
-                first = np.searchsorted(i, i)  # of each query's candidates, which may be more than k in a tie
-                kept = np.arange(len(i)) - first < k
-                i, j = i[kept], j[kept]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[a + i])), ids.take(pa.array(at[j])), pa.array(like[i, j])], ["query_id", id_col, "similarity"])
+        order = np.lexsort((place, -like, query))
+        at = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, at = order[at < self.k], at[at < self.k]
+        self.query, self.like, self.ids = query[order], like[order], ids.take(pa.array(order))
+        self.floor[self.query[at == self.k - 1]] = self.like[at == self.k - 1]
+
+
+def _nearest(sent, k: int, id_col: str, listed: bool = False):
+    """Of the rows (id, v) of a task, the k nearest of each of the broadcast queries."""
+
+    def meet(table: pa.Table, asked: dict, by_list: dict, best: _Best) -> None:
+        ids, lists, found, many = table[id_col].combine_chunks(), None, [], 0
+        if listed:
+            lists = table["list"].to_numpy()
+        for at, v, length in _matrix(table["v"]):
+            if v.shape[1] not in asked:
+                continue
+            names, q, size, place = asked[v.shape[1]]
+            for one in np.unique(lists[at]).tolist() if listed else [None]:
+                mine = np.flatnonzero(lists[at] == one) if listed else np.arange(len(at))
+                who = place[by_list.get(one, np.zeros(0, "i8"))] if listed else np.arange(len(names))
+                who = who[who >= 0]
+                for a in range(0, len(who) if len(mine) else 0, TILE):
+                    w = who[a : a + TILE]
+                    like = np.einsum("ik,jk->ij", q[w], v[mine], optimize=False) / (size[w, None] * length[mine])
+                    least = best.floor[names[w], None]
+                    if len(mine) > k:
+                        least = np.maximum(least, np.partition(like, len(mine) - k, axis=1)[:, len(mine) - k, None])
+                    i, j = np.nonzero(like >= least)
+                    found.append((names[w[i]], like[i, j], at[mine[j]]))
+                    many += len(i)
+                    if many > FOUND:
+                        add(found, ids, best)
+                        found, many = [], 0
+        add(found, ids, best)
+
+    def add(found: list, ids: pa.Array, best: _Best) -> None:
+        if found:
+            query, like, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            best.add(query, like, ids.take(pa.array(j)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        names, asked, best, held, rows = sent.value["query_id"].combine_chunks(), {}, None, [], 0
+        for at, q, size in _matrix(sent.value["query"]):
+            place = np.full(len(names), -1)
+            place[at] = np.arange(len(at))
+            asked[q.shape[1]] = (at, q, size, place)
+        by_list = _by_list(sent.value["lists"]) if listed else {}
         for batch in batches:
+            best = best or _Best(len(names), k, batch.schema.field(id_col).type)
             held.append(batch)
             rows += batch.num_rows
             if rows >= STRETCH:
-                yield from within(pa.Table.from_batches(held))
+                meet(pa.Table.from_batches(held), asked, by_list, best)
                 held, rows = [], 0
         if rows:
-            yield from within(pa.Table.from_batches(held))
+            meet(pa.Table.from_batches(held), asked, by_list, best)
+        if best:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query)), best.ids, pa.array(best.like)], ["query_id", id_col, "similarity"])
 
     return run
 

@@ -15,15 +15,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import cosine, vector
+from tessera.functions.vector import vector
 from tessera.session import ship
 
-#: Vectors of the sample for each list; most lists, and so the size of what is sent to workers; queries that
-#: travel to the scan, more are joined by a shuffle.
-SAMPLE, MOST_LISTS, BROADCAST_QUERIES = 64, 16_384, 10_000
+#: Vectors of the sample for each list; most lists, and so the size of what is sent to workers.
+SAMPLE, MOST_LISTS = 64, 16_384
 #: The recall that is aimed at, of so many neighbours of so many vectors.
 RECALL, NEIGHBOURS, MEASURED = 0.97, 6, 400
 
@@ -145,7 +144,7 @@ class VectorIndex:
     # searching
 
     def probed(self, queries: DataFrame, probes: int) -> DataFrame:
-        """query_id, query and list: each query with the lists of its nearest centres, ``probes`` of them."""
+        """query_id, query and lists: each query with the lists of its nearest centres, ``probes`` of them."""
         ship(self.spark)
         sent = self.spark.sparkContext.broadcast(self.centres)
         probes = max(1, min(probes, len(self.centres) or 1))
@@ -156,32 +155,31 @@ class VectorIndex:
                 yield pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :probes].astype("i4")))
 
         asked = queries.select("query_id", vector("query").alias("query")).where(_usable(F.col("query")))
-        return asked.withColumn("list", F.explode(F.pandas_udf(lists, "array<int>")(F.col("query"))))
+        return asked.withColumn("lists", F.pandas_udf(lists, "array<int>")(F.col("query")))
 
     def search(self, queries: DataFrame, k: int = NEIGHBOURS, probes: int | None = None) -> DataFrame:
         """query_id, rank, id and similarity: the k nearest of each query (query_id, query) in its lists,
         as many as ``calibrate`` found if no number is given.
 
         Null, zero and non-finite queries find nothing. Ties go to the smaller id. As many probes as
-        lists give the exact result.
+        lists give the exact result. A query stays one row with its lists: queries travel to the scan block by
+        block, where each list's vectors meet its queries.
         """
+        from tessera.operators.retrieval import nearest
         from tessera.session import settle
 
         none = self.spark.createDataFrame([], f"query_id long, rank int, {self.id_col} long, similarity double")
         if not len(self.centres):
             return none
         asked = settle(self.probed(queries, probes or self.probes))
-        wanted = [r[0] for r in asked.select("list").distinct().collect()]  # at most one row a list
+        wanted = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]  # at most one row a list
         if not wanted:
             return none
         found = self.table()
         if len(wanted) < len(self.centres):
             found = found.where(F.col("list").isin(wanted))  # the other folders are not listed, let alone read
-        few = asked.select("query_id").distinct().count() <= BROADCAST_QUERIES
-        pairs = found.select("list", self.id_col, self.embedding).join(F.broadcast(asked) if few else asked, "list")
-        scored = pairs.select("query_id", self.id_col, cosine(self.embedding, "query").alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), self.id_col))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", self.id_col, "similarity")
+        best = nearest(found.select("list", self.id_col, vector(self.embedding).alias("v")), asked, k, self.id_col)
+        return best.select("query_id", "rank", self.id_col, "similarity")
 
     def near(self, query: Sequence[float], k: int = NEIGHBOURS, probes: int | None = None) -> DataFrame:
         """``search`` for one vector."""
