@@ -6,7 +6,8 @@ token of either side can reach, so a segment is encoded and walked once and met
 the linked pairs of ids over the corpus and joins counts and each side's maxima back, block by block.
 
 Blocks of documents stay in a settled table: each has its distinct pairs, and its documents as numbers
-of segments. What is shuffled are a block's distinct pairs and, once, the block.
+of segments. What is shuffled are a block's distinct pairs and, once, the block. A block is megabytes, so
+no task holds many: they lie in small row groups, and each meets its pairs in a group of its own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from tessera.session import settle, ship
 
 #: Characters and documents of a block; segments that a worker remembers; longest segment that it does.
 CHARS, DOCS, REMEMBERED, WORD = 3_000_000, 50_000, 150_000, 64
+#: Writer's options for rows of megabytes: by default a hundred are held before their size is looked at, and a
+#: reader takes a whole row group.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
 #: Characters of segments that are encoded together.
 JOINED = 4000
 #: A space after a character that isn't white: tokens of neither side go on from before it.
@@ -198,7 +202,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 holds("alignment", aligner.cache_clear)
 
-BLOCK = "block string, pair_a array<int>, pair_b array<int>, pair_n array<long>, word_sizes binary, word_pairs binary, doc_ids array<string>, doc_counts binary, doc_groups array<string>, doc_words binary"
+BLOCK = "block long, pair_a array<int>, pair_b array<int>, pair_n array<long>, word_sizes binary, word_pairs binary, doc_ids array<string>, doc_counts binary, doc_groups array<string>, doc_words binary"
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -255,7 +259,7 @@ def _block(one: Aligner, ids: list, texts: list) -> pd.DataFrame:
     n = np.zeros(len(distinct), "i8")
     np.add.at(n, which, np.repeat(often, links))
     out = {
-        "block": uuid.uuid4().hex, "pair_a": (distinct >> 32).astype("i4"), "pair_b": (distinct & 0xFFFFFFFF).astype("i4"), "pair_n": n, "word_sizes": _planes(links), "word_pairs": _planes(which),
+        "block": uuid.uuid4().int >> 65, "pair_a": (distinct >> 32).astype("i4"), "pair_b": (distinct & 0xFFFFFFFF).astype("i4"), "pair_n": n, "word_sizes": _planes(links), "word_pairs": _planes(which),
         "doc_ids": ids, "doc_counts": counts.astype("<i8").tobytes(), "doc_groups": groups, "doc_words": _planes(words),
     }
     return pd.DataFrame({k: [v] for k, v in out.items()})
@@ -283,25 +287,25 @@ def _blocks(path_a: str, path_b: str):
 DOC = "doc_id string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_best_a long"
 
 
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of blocks whose pairs have come back with their counts and whether these are a side's highest."""
-    for batch in batches:
-        for _, row in batch.iterrows():
-            found = np.array(row["found"] if row["found"] is not None else [], "i8").reshape(-1, 4)
-            pair = np.zeros((len(found), 3), "i8")
-            pair[found[:, 0]] = found[:, 1:]
-            sizes, which = _numbers(row["word_sizes"]), _numbers(row["word_pairs"])
-            word = _sums(pair[which], sizes)
-            counts = np.frombuffer(row["doc_counts"], "<i8").reshape(-1, 5)
-            total = _sums(word[_numbers(row["doc_words"])], counts[:, 4])
-            out = {"doc_id": list(row["doc_ids"])} | {c: counts[:, k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-            yield pd.DataFrame(out | {"n_best": total[:, 1], "count_sum": total[:, 0], "groups_sha256": list(row["doc_groups"]), "n_best_a": total[:, 2]})
+def _documents(blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """Documents of a block whose pairs have come back with their counts and whether these are a side's highest."""
+    out = []
+    for _, row in blocks.iterrows():
+        pair = np.zeros((len(found), 3), "i8")
+        pair[found["place"].to_numpy()] = found[["n", "best_b", "best_a"]].to_numpy("i8")
+        sizes, which = _numbers(row["word_sizes"]), _numbers(row["word_pairs"])
+        word = _sums(pair[which], sizes)
+        counts = np.frombuffer(row["doc_counts"], "<i8").reshape(-1, 5)
+        total = _sums(word[_numbers(row["doc_words"])], counts[:, 4])
+        made = {"doc_id": list(row["doc_ids"])} | {c: counts[:, k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+        out.append(pd.DataFrame(made | {"n_best": total[:, 1], "count_sum": total[:, 0], "groups_sha256": list(row["doc_groups"]), "n_best_a": total[:, 2]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in DOC.split(", ")])
 
 
 def _aligned(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
     ship(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
-    return settle(rows.mapInPandas(_blocks(path_a, path_b), BLOCK))
+    return settle(rows.mapInPandas(_blocks(path_a, path_b), BLOCK), **LARGE_ROWS)
 
 
 def _pairs(blocks: DataFrame) -> DataFrame:
@@ -332,10 +336,9 @@ def align_documents(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
     blocks = _aligned(df, path_a, path_b)
     counted = settle(_counted(blocks))
-    one = F.array(F.col("place").cast("long"), "n", F.col("best_b").cast("long"), F.col("best_a").cast("long"))
-    found = _pairs(blocks).drop("n").join(counted, ["a", "b"]).groupBy("block").agg(F.flatten(F.collect_list(one)).alias("found"))
-    kept = blocks.drop("pair_a", "pair_b", "pair_n").join(found, "block", "left")
-    out = kept.drop("block").mapInPandas(_documents, DOC)
+    found = _pairs(blocks).drop("n").join(counted, ["a", "b"]).select(F.col("block").alias("of_block"), "place", "n", "best_b", "best_a")
+    kept = blocks.drop("pair_a", "pair_b", "pair_n")
+    out = kept.groupBy("block").cogroup(found.groupBy("of_block")).applyInPandas(_documents, DOC)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

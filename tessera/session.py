@@ -77,11 +77,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def settle(df: DataFrame, outlive: bool = False) -> DataFrame:
+def settle(df: DataFrame, outlive: bool = False, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     This cuts the lineage: lost executors cost only what has not been written yet. The table goes with
-    the innermost ``scratch`` block (with the one around it for ``outlive``), or when the driver ends.
+    the innermost ``scratch`` block (with the one around it for ``outlive``), or when the driver ends. ``options`` go to the writer.
     """
     spark = df.sparkSession
     root = scratch_root(spark)
@@ -89,7 +89,7 @@ def settle(df: DataFrame, outlive: bool = False) -> DataFrame:
         _ENDS.add(root)
         atexit.register(_at_end, spark, root)
     path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     scopes = _SCOPES[:-1] if outlive else _SCOPES
     if scopes:
         scopes[-1].append(path)

@@ -129,3 +129,14 @@ def test_repeats_nulls_empty_and_clashing(spark):
     assert sorted(str(r["doc_id"]) for r in got) == sorted(["1", "1", "None", str(2**60 + 1), "3"])
     assert len({tuple(r[c] for c in COLUMNS) for r in got if r["n_a"] == 3}) == 1
     assert {r["count_sum"] for r in got if r["n_links"] == 3} == {4 + 3 + 3}
+
+
+def test_blocks_lie_in_small_row_groups(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(alignment, "DOCS", 1)
+    monkeypatch.setitem(alignment.LARGE_ROWS, "parquet.block.size", "2048")
+    rows = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(30)], "doc_id long, text string").coalesce(1)
+    made = alignment._aligned(rows, A, B)
+    groups = [pq.ParquetFile(p.removeprefix("file:")) for p in made.inputFiles()]
+    assert sum(f.num_row_groups for f in groups) > 5  # a task writes, and a reader holds, a few blocks at a time
