@@ -3,22 +3,97 @@
 from __future__ import annotations
 
 import json
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, PCA, PCAModel
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import CountVectorizerModel, PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import col
-from tessera.functions.text import ngrams, words
-from tessera.functions.vector import norm
+from tessera.functions.text import words
+from tessera.session import discard, settle, ship
 
 
-def terms(text) -> Column:
-    """Words of two characters or more, in lower case and order, and the pairs of neighbours."""
-    kept = F.filter(words(F.coalesce(col(text), F.lit(""))), lambda w: F.length(w) > 1)
-    return ngrams(kept, 1, 2)
+def kept_words(text) -> Column:
+    """Words of two characters or more, in lower case and order; terms are these and the pairs of neighbours."""
+    return F.filter(words(F.coalesce(col(text), F.lit(""))), lambda w: F.length(w) > 1)
+
+
+#: Distinct terms that a task counts before it passes them on.
+HELD = 200_000
+
+
+def _tally(of: Callable[[list[str]], list[str]]):
+    """term, n and docs: how often, and in how many documents, the terms that ``of`` finds occur in a stretch of documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, docs = Counter(), Counter()
+        for batch in batches:
+            for tokens in batch["w"]:
+                found = of(tokens.tolist())
+                n.update(found)
+                docs.update(set(found))
+                if len(n) > HELD:
+                    yield pd.DataFrame({"term": list(n), "n": list(n.values()), "docs": [docs[t] for t in n]})
+                    n.clear()
+                    docs.clear()
+        if n:
+            yield pd.DataFrame({"term": list(n), "n": list(n.values()), "docs": [docs[t] for t in n]})
+
+    return run
+
+
+def _pairs_of(some: set[str] | None):
+    return lambda w: [f"{a} {b}" for a, b in zip(w, w[1:]) if some is None or (a in some and b in some)]
+
+
+def _vocabulary(listed: DataFrame, most: int, least_documents: int) -> list:
+    """(term, n, docs) of the ``most`` terms that occur most often among those of ``least_documents``; ties by term.
+
+    A pair occurs no oftener than either of its words. So once ``most`` words are known, only pairs of words
+    as frequent as the last of them are counted.
+    """
+
+    def counted(of) -> DataFrame:
+        return listed.mapInPandas(_tally(of), "term string, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+    def best(df: DataFrame) -> list:
+        return df.where(F.col("docs") >= least_documents).orderBy(F.desc("n"), "term").limit(most).collect()
+
+    single = settle(counted(lambda w: w))
+    top, some = best(single), None
+    if len(top) == most:
+        some = {r[0] for r in single.where(F.col("n") >= top[-1]["n"]).select("term").limit(HELD + 1).collect()}
+        some = some if len(some) <= HELD else None
+    discard(single)
+    return sorted(top + best(counted(_pairs_of(some))), key=lambda r: (-r["n"], r["term"]))[:most]
+
+
+def _weigher(vocabulary: list[str], idf: list[float]):
+    """A vectorised function of a column of words: TF-IDF of the vocabulary's terms, of unit length."""
+    single = {t: i for i, t in enumerate(vocabulary) if " " not in t}
+    pair = {tuple(t.split(" ")): i for i, t in enumerate(vocabulary) if " " in t}
+    weight = np.array(idf)
+
+    def give(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            rows = []
+            for tokens in lists:
+                tokens = tokens.tolist()
+                at = [single[t] for t in tokens if t in single] + [pair[p] for p in zip(tokens, tokens[1:]) if p in pair]
+                x = np.bincount(np.array(at, "i8"), minlength=len(weight)) * weight
+                size = np.sqrt(x @ x)
+                rows.append(x / size if size > 0 else x)
+            yield pd.Series(rows, dtype=object)
+
+    return F.pandas_udf(give, "array<double>")
 
 
 @dataclass
@@ -36,33 +111,25 @@ class Features:
 
         Counts, frequencies and moments are taken over all rows; the model holds ``most`` of each.
         """
-        listed = df.select(terms(text).alias("__terms"))
-        if not listed.where(F.size("__terms") > 0).take(1):
+        ship(df.sparkSession)
+        best = _vocabulary(df.select(kept_words(text).alias("w")), most, least_documents)
+        if not best:
             return None
-        counts = CountVectorizer(inputCol="__terms", outputCol="__counts", vocabSize=most, minDF=least_documents).fit(listed)
-        if not counts.vocabulary:
-            return None
-        n, size = 0, len(counts.vocabulary)
-        array = vector_to_array("__counts")
-        row = counts.transform(listed).select(array.alias("c")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.get("c", F.lit(i)) > 0).alias(f"d{i}") for i in range(size))).first()
-        n = row["n"]
-        import math
-
-        out = cls(counts, [math.log((1 + n) / (1 + row[f"d{i}"])) + 1 for i in range(size)], [0.0] * size, None)
+        n, size = df.count(), len(best)
+        counts = CountVectorizerModel.from_vocabulary([r["term"] for r in best], inputCol="__terms", outputCol="__counts")
+        out = cls(counts, [math.log((1 + n) / (1 + r["docs"])) + 1 for r in best], [0.0] * size, None)
         if components:
-            weighed = out._weighed(df.select(F.col(text).alias("text")), "text").select("tfidf")
-            mean = weighed.agg(*(F.avg(F.get("tfidf", F.lit(i))).alias(f"m{i}") for i in range(size))).first()
-            out.mean = [float(mean[f"m{i}"]) for i in range(size)]
+            # the passes over the rows read their weights, not the texts
+            weighed = settle(out._weighed(df.select(F.col(text).alias("text")), "text").select("tfidf"))
+            out.mean = [float(x) for x in weighed.select(Summarizer.mean(array_to_vector("tfidf"))).first()[0]]
             centred = weighed.select(array_to_vector(out._centred("tfidf")).alias("__v"))
             out.components = PCA(k=min(components, size), inputCol="__v", outputCol="__p").fit(centred)
+            discard(weighed)
         return out
 
     def _weighed(self, df: DataFrame, text: str) -> DataFrame:
-        counted = self.counts.transform(df.withColumn("__terms", terms(text)))
-        raw = F.zip_with(vector_to_array("__counts"), F.lit(self.idf), lambda c, w: c * w)
-        rows = counted.withColumn("__raw", raw)
-        unit = F.transform("__raw", lambda x: F.coalesce(F.try_divide(x, F.col("__norm")), F.lit(0.0)))
-        return rows.withColumn("__norm", norm("__raw")).withColumn("tfidf", unit).drop("__terms", "__counts", "__raw", "__norm")
+        ship(df.sparkSession)
+        return df.withColumn("tfidf", _weigher(self.counts.vocabulary, self.idf)(kept_words(text)))
 
     def _centred(self, x: str) -> Column:
         return F.zip_with(F.col(x), F.lit(self.mean), lambda a, m: a - m)

@@ -43,6 +43,20 @@ def test_recall_against_exact_search(index, embeddings):
     assert every == exact
 
 
+def test_queries_travel_in_blocks_and_no_row_is_a_pair(index, embeddings, monkeypatch):
+    whole = sorted(map(tuple, index.search(_queries(embeddings)).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 4096)
+    for name, n in (("STRETCH", 50), ("TILE", 3), ("FOUND", 20)):  # the best so far go from stretch to stretch
+        monkeypatch.setattr(retrieval, name, n)
+    found = index.search(_queries(embeddings))
+    assert sorted(map(tuple, found.collect())) == whole
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "MapInArrow" in plan
+    task = retrieval._nearest(type("Sent", (), {"value": _queries(embeddings).toArrow()})(), 6, "vec_id")
+    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).toArrow()
+    assert sum(b.num_rows for b in task(iter(rows.to_batches(10)))) == 6 * _queries(embeddings).count()  # k a query, whatever a task reads
+
+
 def _size(path):
     return sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(path) for n in names if n.endswith(".parquet"))
 
@@ -127,6 +141,22 @@ def test_features_against_numpy(spark, tmp_path):
     assert all(np.allclose(again[i], got[i]["features"]) for i in again)
 
 
+def test_pairs_of_frequent_words_alone_are_counted(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices([f"term{i}" for i in range(40)], weights=[2.0**-i for i in range(40)], k=30)) for _ in range(80)] + ["only once " * 60]
+    listed = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(features.kept_words("text").alias("w"))
+    split = [t.split() for t in texts]
+    grams = [w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] for w in split]
+    n, docs = Counter(g for d in grams for g in d), Counter(g for d in grams for g in set(d))
+    for most in (3, 12, 10_000):
+        want = sorted(((g, n[g], docs[g]) for g in n if docs[g] >= 2), key=lambda r: (-r[1], r[0]))[:most]
+        assert [tuple(r) for r in features._vocabulary(listed, most, 2)] == want
+    seen = []
+    monkeypatch.setattr(features, "_pairs_of", lambda some: seen.append(some) or (lambda w: []))
+    features._vocabulary(listed, 3, 2)
+    assert seen == [{"term0", "term1", "term2"}]
+
+
 def test_features_of_little(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")
     assert features.Features.fit(df) is None and features.Features.fit(df.limit(0)) is None
