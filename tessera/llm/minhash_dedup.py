@@ -263,27 +263,39 @@ def _merged(label: DataFrame, more: DataFrame) -> DataFrame:
     return grown.unionByName(up.join(label, "node", "left_anti").select("node", "component"))
 
 
-def _through_hubs(scored: DataFrame, links: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
-    """Untried pairs between components: an end of a candidate, or its hub, and the other end's hub.
-
-    A document's hub is the most linked one of itself and its partners. So the copies of one
-    original, which in a crowd meet one another rather than the original, pass it on. There are at
-    most three pairs for each candidate, however large a crowd is.
-    """
+def _hubs(links: DataFrame) -> DataFrame:
+    """node and hub of every linked document: the most linked one of itself and its partners."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     degree = settle(ends.groupBy("node").agg(F.count(F.lit(1)).alias("d")))
     around = settle(ends.join(degree.select(F.col("node").alias("other"), "d"), "other"))
     near = around.select("node", "d", "other").unionByName(degree.select("node", "d", F.col("node").alias("other")))
     hub = settle(near.groupBy("node").agg(F.max(F.struct("d", (-F.col("other")).alias("m"))).alias("best")).select("node", (-F.col("best.m")).alias("hub")))
+    for table in (degree, around):
+        discard(table)
+    return hub
+
+
+def _touched(pairs: DataFrame, hub: DataFrame, before: DataFrame) -> DataFrame:
+    """The pairs with an end whose hub is not the one it had before."""
+    moved = settle(hub.join(before, ["node", "hub"], "left_anti").select("node"))
+    by = [pairs.join(moved.select(F.col("node").alias(x)), x, "left_semi").select("a", "b") for x in "ab"]
+    out = settle(by[0].unionByName(by[1]).distinct())
+    discard(moved)
+    return out
+
+
+def _through_hubs(pairs: DataFrame, hub: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
+    """Untried pairs between components: an end of a candidate, or its hub, and the other end's hub.
+
+    So the copies of one original, which in a crowd meet one another rather than the original, pass it
+    on. There are at most three pairs for each candidate, however large a crowd is.
+    """
     ha, hb = (hub.select(F.col("node").alias(x), F.col("hub").alias(f"h{x}")) for x in "ab")
-    apart = _apart(scored, label).join(ha, "a", "left").join(hb, "b", "left")
+    apart = _apart(pairs, label).join(ha, "a", "left").join(hb, "b", "left")
     each = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("a", "hb"), ("ha", "b"), ("ha", "hb"))))
     met = apart.select(F.explode(each).alias("p")).where("p.x is not null and p.y is not null")
     met = met.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
-    out = settle(met.join(tried, ["a", "b"], "left_anti"))
-    for table in (degree, around, hub):
-        discard(table)
-    return out
+    return settle(met.join(tried, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(df: DataFrame, k: int = 4) -> DataFrame:
@@ -312,9 +324,10 @@ def near_duplicates(df: DataFrame, k: int = 4) -> DataFrame:
     best = settle(ends.withColumn("r", rank).where(F.col("r") <= BEST).select("a", "b").distinct())
     links, tried = _confirm(best, sets), best
     label = settle(components(links))
-    # then whatever would still join two components
-    fresh = settle(_apart(scored, label).select("a", "b").join(best, ["a", "b"], "left_anti"))
-    used, widened = [sets, scored, best], False
+    # then whatever would still join two components; ends that meet in one never part again
+    apart = settle(_apart(scored, label))
+    fresh = settle(apart.join(best, ["a", "b"], "left_anti"))
+    used, hub = [sets, scored, best, apart], None
     while fresh.take(1):
         more = _confirm(fresh, sets)
         tried = tried.unionByName(fresh)
@@ -323,9 +336,13 @@ def near_duplicates(df: DataFrame, k: int = 4) -> DataFrame:
             links = links.unionByName(more)
             used.append(label)
             label = settle(_merged(label, more))
-        elif widened:
+        elif hub is not None:
             break
-        fresh, widened = _through_hubs(scored, links, label, tried), True
+        before, hub = hub, _hubs(links)
+        # between ends that kept their hubs all has been tried
+        pairs = apart if before is None else _touched(apart, hub, before)
+        used += [hub, pairs]
+        fresh = _through_hubs(pairs, hub, label, tried)
     for table in [*used, fresh]:
         discard(table)
     whole = reps.select("set_key", F.col("id").alias("rep")).join(label, F.col("rep") == F.col("node"), "left")

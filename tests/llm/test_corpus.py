@@ -141,6 +141,32 @@ def test_minhash_star_of_edited_copies(spark, copies, cut):
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in got} == {10_000} and len(got) == copies + 1
 
+def test_minhash_rounds_look_at_what_moved(spark, monkeypatch):
+    import numpy as np
+
+    # a star that rounds gather over its hub, and a crowd without an original, whose pairs stay apart
+    rng = np.random.default_rng(8)
+    rows = []
+    for group, (size, cut) in enumerate([(300, 40), (300, 48)]):
+        base = [f"g{group}w{i}" for i in range(400)]
+        for c in rng.permutation(size).tolist():
+            words = list(base)
+            for i in sorted(rng.choice(97, cut // 4, replace=False) * 4):
+                words[i] = f"own{c}x{i}"
+            rows.append((10_000 * group + 7 * c + 1, " ".join(words)))
+        if group == 0:
+            rows.append((0, " ".join(base)))
+    looked, apart = [], minhash_dedup._apart
+
+    def counted(pairs, label):
+        looked.append(pairs.count())
+        return apart(pairs, label)
+
+    monkeypatch.setattr(minhash_dedup, "_apart", counted)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in jaccard_links(rows, 4).items()}
+    assert len(looked) > 2 and sum(looked[2:]) < looked[1] < looked[0]
+
 def test_substring_dedup_on_odd_rows(docs, none):
     by = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
     assert by[10]["kept_text"] == "start two end two" and by[10]["n_removed"] == 60
