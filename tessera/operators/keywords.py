@@ -7,6 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ from tessera.functions.text import ngrams, words
 from tessera.functions.vector import LETTERS, dot, letter_vector, norm
 from tessera.session import settle, ship
 
-#: Most distinct words whose document frequencies are broadcast.
-BROADCAST_TERMS = 200_000
+#: Bytes of texts whose words are numbered together.
+BLOCK_BYTES = 16 << 20
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None, least: int = 2) -> DataFrame:
@@ -205,19 +208,76 @@ def top_per_document(found: DataFrame, n: int, id_col: str = "doc_id") -> DataFr
     return found.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def _numbered(ids: pa.Array, texts: pa.Array, leave: list[str], names: list[str], block: int) -> Iterator[pa.RecordBatch]:
+    """A block's documents as numbers of words with their counts, and its words with their numbers and documents."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}_]+", " ")
+    tokens = pc.split_pattern(plain, " ")
+    coded = tokens.flatten().dictionary_encode()
+    terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    kept = ~pc.is_in(terms, pa.array(["", *leave], terms.type)).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(ids)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+    pair, times = np.unique((doc * len(terms) + code)[kept[code]], return_counts=True)
+    doc, code = np.divmod(pair, max(len(terms), 1))
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(ids))))), pa.int32())
+    codes, counts = (pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (code, times))
+    freq = np.bincount(code, minlength=len(terms))
+    known = np.flatnonzero(freq)
+
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        none = {"id": ids.type, "codes": codes.type, "times": codes.type, "code": pa.int32(), "term": terms.type, "n": pa.int64()}
+        made = {"block": pa.array(np.full(size, block)), **{k: pa.nulls(size, t) for k, t in none.items()}, **columns}
+        return pa.RecordBatch.from_arrays([made[k] for k in names], names)
+
+    yield rows(len(ids), id=ids, codes=codes, times=counts)
+    yield rows(len(known), code=pa.array(known, pa.int32()), term=terms.take(pa.array(known)), n=pa.array(freq[known], pa.int64()))
+
+
+def _in_blocks(leave: list[str], names: list[str], most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= most:
+                yield from _numbered(*(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1)), leave, names, block)
+                block, held, size = block + 1, [], 0
+        if held:
+            yield from _numbered(*(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1)), leave, names, block)
+
+    return run
+
+
+def _weighed(docs: pa.Table, terms: pa.Table) -> pa.Table:
+    """The words of a block's documents, whose weights have unit length in each."""
+    number, idf = terms["code"].to_numpy(), terms["idf"].to_numpy()
+    place = np.zeros(number.max(initial=-1) + 1, np.int64)
+    place[number] = np.arange(len(number))
+    at = place[pc.list_flatten(docs["codes"]).to_numpy()]
+    doc = np.repeat(np.arange(len(docs)), pc.list_value_length(docs["codes"]).to_numpy())
+    x = pc.list_flatten(docs["times"]).to_numpy() * idf[at]
+    length = np.sqrt(np.bincount(doc, x * x, minlength=len(docs)))
+    return pa.table({"id": docs["id"].take(pa.array(doc)), "term": terms["term"].take(pa.array(at)), "weight": x / length[doc]})
+
+
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
     """id, term and weight: counts times ln((1 + n) / (1 + df)) + 1, of unit length in a document.
 
-    Words are counted within their row; the document frequencies travel to the scan if there are few
-    enough of them, and else meet the counts by a join on the term.
+    Each row is a document. Blocks of documents number their words, so that what meets by the term is
+    one row a block and word, and what goes back to the documents is their block's words. The texts
+    are read once, and neither a document's words nor its rows are shuffled by themselves.
     """
-    n = docs.count()
-    counts = term_counts(docs, id_col, text, stop_words, least=1)
-    known = settle(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    weighed = known.select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(weighed) if known.count() <= BROADCAST_TERMS else weighed, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("x") / length).alias("weight"))
+    ship(docs.sparkSession)
+    key = docs.schema[id_col].dataType.simpleString()
+    names = ["block", "id", "codes", "times", "code", "term", "n"]
+    made = f"block long, id {key}, codes array<int>, times array<int>, code int, term string, n long"
+    rows = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    blocks = settle(rows.mapInArrow(_in_blocks(stop_words or [], names, BLOCK_BYTES), made))
+    counted = blocks.where("term is null").select("block", "id", "codes", "times")
+    n = counted.count()
+    df = F.sum("n").over(Window.partitionBy("term"))
+    idf = blocks.where("term is not null").select("block", "code", "term", (F.log((1.0 + n) / (1 + df)) + 1).alias("idf"))
+    weighed = counted.groupBy("block").cogroup(idf.groupBy("block")).applyInArrow(_weighed, f"id {key}, term string, weight double")
+    return weighed.select(F.col("id").alias(id_col), "term", "weight")
 
 
 def clusters(terms: DataFrame, k: int = 4, seed: int = 42, features: int = 256) -> DataFrame:

@@ -177,6 +177,32 @@ def test_words_are_taken_once(spark):
     assert keywords.tfidf(docs).count() == 2
 
 
+def test_tfidf_in_blocks_as_sql(spark, monkeypatch):
+    import duckdb
+
+    from tessera.plans.queries import SQL
+
+    texts = ["İstanbul ΟΔΟΣ οδος", "a_b 12 ½ x² a_b", "", None, "... !", "été e\u0301te 日本語 日本語", "ΑΣ! ας ΑΣ", "common common one", "common", " common, Straße STRASSE ", "\tcommon\n\n12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = sorted(con.execute(SQL["tfidf_vectors"]).fetchall())
+    monkeypatch.setattr(keywords, "BLOCK_BYTES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        made = keywords.tfidf(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["doc_id"], r["term"], round(r["weight"], 6)) for r in made.collect()) == want
+    assert "hashpartitioning(doc_id" not in made._jdf.queryExecution().executedPlan().toString()  # rows of a document don't move
+    left = keywords.tfidf(docs, stop_words=["common"])
+    assert {r["term"]: round(r["weight"], 6) for r in left.where("doc_id in (7, 8)").collect()} == {"one": 1.0}
+    assert keywords.tfidf(docs.where("doc_id in (2, 3, 4)")).count() == 0 and keywords.tfidf(docs.where("doc_id < 0")).count() == 0
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("block"), F.col("text").alias("term"))
+    assert keywords.tfidf(named.where("block = 'd8'"), "block", "term").where("block = 'd8'").count() == 1
+
+
 def test_key_phrases_are_cut_before_they_move(spark):
     from tessera.functions.vector import letter_vector
 
